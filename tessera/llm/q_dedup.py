@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import near_dedup
+from tessera.llm.vector_dedup import vector_dedup
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, min_pct=80)
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,5 +42,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op5_line_dedup": op5_line_dedup}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op4_vector_dedup": op4_vector_dedup, "op5_line_dedup": op5_line_dedup}
 SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
