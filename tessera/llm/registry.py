@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import q_dedup, q_tokens
+from tessera.llm import q_dedup, q_text, q_tokens
 
-_MODULES = (q_dedup, q_tokens)
+_MODULES = (q_dedup, q_text, q_tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,9 +47,10 @@ class _Powers:
 _up, _down = _Powers(_P), _Powers(_P_INV)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each text's words begin (one entry more than texts)."""
-    buf = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    joined = b"\n".join(texts) + b"\n"
+    buf = np.frombuffer(joined.lower() if lower else joined, np.uint8)
     space = _SPACE[buf]
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
