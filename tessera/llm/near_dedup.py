@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.scratch import Scratch, partitions
-from tessera.llm.shingles import U, Forest, Index, band_keys, chunks, links_within, min_max_signature, runs, shingle_hashes
+from tessera.llm.shingles import U, Forest, Index, band_keys, chunks, links_within, min_max_signature, runs, shingle_hashes, texts_of
 
 #: A pair at similarity 0.8 shares none of 40 bands of 6 values with probability 5e-6.
 BANDS, ROWS = 40, 6
@@ -42,7 +42,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, bands: i
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in chunks(batch.column(1).to_pylist()):
+            for texts in chunks(texts_of(batch, 1)):
                 hashes, begins = shingle_hashes(texts, width)
                 sets = [np.unique(hashes[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
                 some = np.flatnonzero(np.diff(begins) > 0)
@@ -66,7 +66,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in chunks(batch.column(2).to_pylist()):
+            for texts in chunks(texts_of(batch, 2)):
                 hashes, begins = shingle_hashes(texts, width)
                 ids, want = batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)).to_pylist()
                 sets = [np.unique(hashes[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
@@ -84,7 +84,7 @@ def _array(b: bytes) -> np.ndarray:
 
 def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Number of blocks for each key of ``rows``, by their number and by their shingles."""
-    return rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+    return rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
 
 
 def _links_to_leaders(members: DataFrame, sets: DataFrame, min_pct: int) -> DataFrame:
@@ -108,14 +108,14 @@ def _edges(pairs: list[tuple]) -> pa.RecordBatch:
 
 def _contested(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with ``comp`` and the smallest, ``base``; buckets with the same members count once."""
-    known = members.join(labels, members["rep"] == labels["node"], "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    many = known.groupBy("band", "key").agg(F.min("comp").alias("base"), F.max("comp").alias("top"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).filter("base < top")
-    once = many.groupBy("c", "who", "base").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "base")
-    return known.join(once, ["band", "key"])
+    known = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    many = known.groupBy("key").agg(F.min("comp").alias("base"), F.max("comp").alias("top"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).filter("base < top")
+    once = many.groupBy("c", "who", "base").agg(F.min("key").alias("key")).select("key", "base")
+    return known.join(once, "key")
 
 
 def _links_contested(rows: DataFrame, sets: DataFrame, min_pct: int) -> DataFrame:
-    keys = ["band", "key"]
+    keys = ["key"]
     asks = rows.filter("comp <> base")
     n_ask, n_all = _blocks(asks, keys).withColumnRenamed("blocks", "asks"), _blocks(rows, keys).withColumnRenamed("blocks", "alls")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -124,7 +124,7 @@ def _links_contested(rows: DataFrame, sets: DataFrame, min_pct: int) -> DataFram
     b = rows.join(n_ask, keys).join(n_all, keys).select(*keys, spread("asks").alias("i"), block("alls").alias("j"), F.lit(1).alias("side"), F.col("rep").alias("doc"), "comp")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (side, ids, comp, sets_) in runs(batches, 4):
+        for _, (side, ids, comp, sets_) in runs(batches, 3):
             forest = Forest(len(ids), comp)
             n = side.index(1) if 1 in side else len(side)
             index = Index([_array(s) for s in sets_[n:]])
@@ -144,9 +144,10 @@ def near_dedup(docs: DataFrame, width: int = 5, min_pct: int = 80, id_col: str =
     signed = scratch.save(signatures(docs, width, id_col, text_col), "signatures")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("m"))
     reps = scratch.save(classes.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands")), "classes")
-    rows = reps.select("rep", "digest", "n", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = scratch.save(rows.select("band", "key", "rep", "n").join(shared, ["band", "key"]), "buckets")
+    rows = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # one row a shared bucket, hashed by partition: the rows themselves need no sort
+    members = scratch.save(rows.join(shared.hint("shuffle_hash"), "key"), "buckets")
     wanted = members.select("rep").distinct().join(reps.select("rep", "digest"), "rep")
     sets = scratch.save(_sets(docs, wanted, width, id_col, text_col), "sets")
     copies = signed.filter("n > 0 and doc_id is not null").select("doc_id", "digest").join(reps.select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -85,7 +85,13 @@ def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     return out, begins
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+def texts_of(batch: pa.RecordBatch, column: int, rows: int = 256) -> Iterator[str | None]:
+    """A batch's texts, of which few are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield from batch.column(column).slice(at, rows).to_pylist()
+
+
+def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """Runs of encoded texts of about ``limit`` bytes; a longer text is a run of its own."""
     held: list[bytes] = []
     size = 0
