@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import keep_rows
+
 UND = "und"
 LONG = 40
 MAX_DOCS = 4000
@@ -230,6 +232,17 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return rows.mapInArrow(score, f"{schema}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in a language, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        scorer = _Scorer(shared.value)
+        return lambda texts: [x != UND for x in scorer.texts(texts)[0]]
+
+    return keep_rows(docs, text_col, judge)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether crc32 of the document's number as text is divisible by five."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.cuckoo import CuckooFilter
+from tessera.llm.rows import map_text
 from tessera.llm.scratch import Scratch, partitions
 from tessera.llm.shingles import U, runs
 
@@ -152,12 +153,30 @@ class LineIndex:
 
     def kept(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_lines, n_dropped and ``kept``, the text without the lines that a smaller doc_id holds too."""
-        plain, drops = _plain(docs, id_col, text_col), self.drops()
-        drops = drops.select(F.col("doc_id").alias("d"), F.transform("keys", lambda k: F.unhex(F.concat(_little(k["hi"]), _little(k["lo"])))).alias("drop"))
+        plain, drops = _plain(docs, id_col, text_col), _bytes_of(self.drops())
         joined = plain.join(drops, plain["doc_id"] == drops["d"], "left").select("doc_id", "text", "drop")
         return _render(joined, self.min_chars)
 
 
+    def cleaned(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """All columns of ``docs``, its texts without the lines that a smaller doc_id holds too; null texts stay null."""
+        chars = self.min_chars
+
+        def change(texts: list, drops: list) -> list:
+            return [t if t is None or not d else _without(t, d, chars) for t, d in zip(texts, drops, strict=True)]
+
+        return map_text(docs, text_col, _bytes_of(self.drops()), id_col, change)
+
+
+def _without(text: str, drop: list, min_chars: int) -> str:
+    out = {bytes(x) for x in drop}
+    return b"\n".join(x for x in text.encode().split(b"\n") if line_key(x, min_chars) not in out).decode()
+
+
+def _bytes_of(drops: DataFrame) -> DataFrame:
+    return drops.select(F.col("doc_id").alias("d"), F.transform("keys", lambda k: F.unhex(F.concat(_little(k["hi"]), _little(k["lo"])))).alias("drop"))
+
+
 def _little(c: F.Column) -> F.Column:
     """Hex of a long's bytes from the least significant."""
     h = F.lpad(F.hex(c), 16, "0")
@@ -212,6 +231,11 @@ def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in (3, 4, 5)], names=["doc_id", "hi", "lo"])
 
 
+def clean_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each repeated line in the smallest doc_id that holds it only."""
+    return LineIndex(docs.sparkSession, min_chars).insert(docs, id_col, text_col).cleaned(docs, id_col, text_col)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept for the documents among themselves."""
     return LineIndex(docs.sparkSession, min_chars).insert(docs, id_col, text_col).kept(docs, id_col, text_col)

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import keep_rows
 from tessera.llm.scratch import Scratch
-from tessera.llm.shingles import U, mix, word_hashes
+from tessera.llm.shingles import U, mix, texts_of, word_hashes
 
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "symbol", "other")
 COMMON = 40
@@ -215,11 +216,29 @@ class _Judge:
             words, near = less_noise(d.min(), COMMON + 1, len(found)), refs.languages[int(d.argmin())]
         return chars, words, near
 
+    def verdict(self, text: str | None) -> tuple:
+        """The base counts, base_failed, both distances and kept."""
+        base = base_counts(text)
+        failed = base[0] < MIN_TEXT_WORDS or 100 * base[4] > MAX_REPEAT_PCT * base[0]
+        chars, words, _ = self.distances(text or "")
+        return (*base, failed, chars, words, not failed and self.passes(chars, words))
+
     @staticmethod
     def passes(chars: float | None, words: float | None) -> bool:
         return (chars is None or chars <= CHAR_LIMIT) and (words is None or words <= WORD_LIMIT)
 
 
+def keep_good(docs: DataFrame, refs: References | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_references(docs, text_col=text_col, lang_col=lang_col) if refs is None else refs)
+
+    def judge():
+        of = _Judge(shared.value)
+        return lambda texts: [of.verdict(t)[-1] for t in texts]
+
+    return keep_rows(docs, text_col, judge)
+
+
 def quality_rules(docs: DataFrame, refs: References | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept."""
     found = fit_references(docs, text_col=text_col, lang_col=lang_col) if refs is None else refs
@@ -229,12 +248,7 @@ def quality_rules(docs: DataFrame, refs: References | None = None, id_col: str =
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(shared.value)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                base = base_counts(text)
-                failed = base[0] < MIN_TEXT_WORDS or 100 * base[4] > MAX_REPEAT_PCT * base[0]
-                chars, words, _ = judge.distances(text or "")
-                out.append((*base, failed, chars, words, not failed and judge.passes(chars, words)))
+            out = [judge.verdict(text) for text in texts_of(batch, 1)]
             cols = list(zip(*out, strict=True)) or [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
