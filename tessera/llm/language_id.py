@@ -18,6 +18,7 @@ id stays null; other columns of the input are not read, and ``lang`` only in tra
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.rows import keep_rows
+from tessera.llm.scratch import Scratch
 
 UND = "und"
 LONG = 40
@@ -37,7 +39,7 @@ MAX_DOCS = 4000
 MAX_WORDS = 30_000
 ROUNDS = 4
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS, SLICE_WORDS = 600_000, 60_000
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _HAS_LETTER = regex.compile(r"\p{L}")
 #: The vocabulary's mark of a word's beginning.
@@ -176,11 +178,13 @@ def fit(train: DataFrame, vocabulary: str, *, max_docs: int = MAX_DOCS, max_word
                 found.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    scratch = Scratch(train.sparkSession, "language")
+    words = scratch.save(chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     counts: dict[str, Counter] = {}
     for lang in sorted(docs):
         top = words.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(max_words)
         counts[lang] = Counter({r["word"]: r["n"] for r in top.collect()})
+    scratch.drop(words)
     return fit_words({k: v for k, v in counts.items() if v}, docs, vocabulary)
 
 
@@ -192,13 +196,15 @@ class _Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lists = [words_of(t) for t in texts]
+        if len(self.row) > CACHE_WORDS + SLICE_WORDS:  # what came after the worker's memory was full was for one slice
+            self.row = dict(itertools.islice(self.row.items(), CACHE_WORDS))
         new = list(set().union(*lists).difference(self.row))
-        if len(self.row) + len(new) > CACHE_WORDS:
-            self.row, self.table = {}, self.table[:0]
-            new = list(set().union(*lists))
         if new:
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.lattice.log_prob(new, self.model.p)])
+            at = len(self.row)
+            self.row.update(zip(new, range(at, at + len(new)), strict=True))
+            if len(self.row) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((len(self.row) + 50_000 - len(self.table), len(self.model.languages)))])
+            self.table[at : at + len(new)] = self.model.lattice.log_prob(new, self.model.p)
         langs, scores = [], []
         for words in lists:
             if not words or not self.model.languages or not any(_HAS_LETTER.search(w) for w in words):
