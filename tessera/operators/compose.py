@@ -477,28 +477,28 @@ class CalibratedClassifierCV(Params):
         for k in range(self.cv):
             m = self.base_estimator.clone().fit(rows.filter(F.col("fold#") != k), features, label)
             one = m.predict(rows.filter(F.col("fold#") == k)).withColumn("p#", F.col("probability")[1])
-            one = one.select(number("p#").alias("p"), (col(label).cast("int") == int(m.classes_[1])).cast("double").alias("y"))
+            one = one.select(number("p#").alias("p#"), (col(label).cast("int") == int(m.classes_[1])).cast("double").alias("y#"))
             parts = one if parts is None else parts.unionByName(one)
         self.model_ = self.base_estimator.clone().fit(df, features, label)
         self.classes_ = self.model_.classes_
         if len(self.classes_) != 2:
             raise ValueError("calibration takes two classes")
         if self.method == "sigmoid":
-            p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
-            self.map_ = LogisticRegression(C=1e6).fit(parts.select(F.log(p / (1 - p)).alias("z"), "y"), ["z"], "y")
+            p = F.least(F.greatest(F.col("p#"), F.lit(1e-9)), F.lit(1 - 1e-9))
+            self.map_ = LogisticRegression(C=1e6).fit(parts.select(F.log(p / (1 - p)).alias("z#"), "y#"), ["z#"], "y#")
         else:
-            self.map_ = IsotonicRegression().fit(parts, ["p"], "y")
+            self.map_ = IsotonicRegression().fit(parts, ["p#"], "y#")
         self.features_ = list(features)
         return self
 
     def predict(self, df):
-        out = self.model_.predict(df).withColumn("p", F.col("probability")[1]).drop("prediction", "probability")
+        out = self.model_.predict(df).withColumn("p#", F.col("probability")[1]).drop("prediction", "probability")
         if self.method == "sigmoid":
-            p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
-            out = self.map_.predict(out.withColumn("z", F.log(p / (1 - p)))).withColumn("q", F.col("probability")[1]).drop("z", "prediction", "probability")
+            p = F.least(F.greatest(F.col("p#"), F.lit(1e-9)), F.lit(1 - 1e-9))
+            out = self.map_.predict(out.withColumn("z#", F.log(p / (1 - p)))).withColumn("q#", F.col("probability")[1]).drop("z#", "prediction", "probability")
         else:
-            out = self.map_.predict(out).withColumnRenamed("prediction", "q")
-        return out.withColumn("probability", F.array(1 - F.col("q"), F.col("q"))).withColumn("prediction", F.when(F.col("q") >= 0.5, int(self.classes_[1])).otherwise(int(self.classes_[0]))).drop("p", "q")
+            out = self.map_.predict(out).withColumnRenamed("prediction", "q#")
+        return out.withColumn("probability", F.array(1 - F.col("q#"), F.col("q#"))).withColumn("prediction", F.when(F.col("q#") >= 0.5, int(self.classes_[1])).otherwise(int(self.classes_[0]))).drop("p#", "q#")
 
 
 # -- inspection -------------------------------------------------------------------------------------------------------
@@ -535,7 +535,7 @@ class PartialDependence(Params):
         out = None
         for f in self.features:
             r = df.agg(F.min(number(f)).alias("lo"), F.max(number(f)).alias("hi")).first()
-            points = df.sparkSession.createDataFrame([(float(v),) for v in np.linspace(r["lo"], r["hi"], self.grid)], "v# double")
+            points = df.sparkSession.createDataFrame([(float(v),) for v in np.linspace(r["lo"], r["hi"], self.grid)], "`v#` double")
             each = df.crossJoin(F.broadcast(points)).withColumn(f, F.col("v#"))  # ``grid`` points
             one = self.estimator.predict(each).groupBy("v#").agg(F.avg("prediction").alias("mean")).select(F.lit(f).alias("feature"), F.col("v#").alias("value"), "mean")
             out = one if out is None else out.unionByName(one)

@@ -551,7 +551,7 @@ class _Embedding(Transformer):
         self.rows_, self.embedding_ = x, self._embed(x)
 
     def outputs(self):
-        return [f"e{i}" for i in range(self.n_components)]
+        return [f"embed{i}" for i in range(self.n_components)]
 
     def transform(self, df):
         self._check(df)

@@ -127,7 +127,7 @@ def mutual_info_classif(df: DataFrame, features: Sequence[str], label: str, bins
 
 def mutual_info_regression(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> dict[str, float]:
     rows, (b,) = _binned(df, [label], bins)
-    return mutual_info_classif(rows, features, b, bins)
+    return mutual_info_classif(rows.withColumnRenamed(b, "target bin"), features, "target bin", bins)
 
 
 def chi2(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> dict[str, float]:
