@@ -35,6 +35,12 @@ def number(name: str) -> Column:
     return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
 
 
+def split_block(m: np.ndarray, p: int, q: int, single: bool, weighted: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """The columns of a block: p features, q labels (one of them alone if ``single``), and weights."""
+    y = m[:, p] if single else (m[:, p : p + q] if q else None)
+    return m[:, :p], y, m[:, p + q] if weighted else np.ones(len(m))
+
+
 class Data:
     """Features, and a label and a weight if given, of a table. Rows with a missing value are left out unless ``keep_missing``."""
 
@@ -76,9 +82,11 @@ class Data:
 
     def split(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """X, y and weights of a block of rows."""
-        p, q = len(self.features), len(self.labels)
-        y = m[:, p] if self.single else (m[:, p : p + q] if q else None)
-        return m[:, :p], y, m[:, p + q] if self.weight else np.ones(len(m))
+        return split_block(m, *self._layout)
+
+    @property
+    def _layout(self) -> tuple[int, int, bool, bool]:
+        return len(self.features), len(self.labels), self.single, self.weight is not None
 
     def local(self, limit: int = PAIR_ROWS) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """All rows, for methods that need them together; raises if there are more than ``limit``."""
@@ -89,9 +97,9 @@ class Data:
     def sum(self, fn: Callable[[np.ndarray, np.ndarray | None, np.ndarray], np.ndarray | Sequence[np.ndarray]], how: str = "sum") -> list[np.ndarray]:
         """The sums (or the greatest, with how="max") over all rows of the arrays that ``fn(X, y, w)`` returns for a block of rows."""
         join = np.add if how == "sum" else np.maximum
-        split = self.split
+        layout = self._layout  # what goes to the executors must not hold this table
         if self.is_local:
-            got = fn(*split(self._read()))
+            got = fn(*split_block(self._read(), *layout))
             return [np.asarray(x, float) for x in (got if isinstance(got, (tuple, list)) else [got])]
         width = self.width
 
@@ -99,7 +107,7 @@ class Data:
             total: list[np.ndarray] | None = None
             for b in batches:
                 m = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(width)], 1)
-                got = fn(*split(m))
+                got = fn(*split_block(m, *layout))
                 got = [np.asarray(x, float) for x in (got if isinstance(got, (tuple, list)) else [got])]
                 total = got if total is None else [join(s, x) for s, x in zip(total, got, strict=True)]
             if total is not None:
