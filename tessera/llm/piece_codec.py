@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shingles import texts_of
 
 MARK = "▁"
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_300_000
 #: Before each mark that follows another character.
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -194,6 +194,22 @@ class Codec:
         s = Stream(self.v)
         return np.array(s.feed(word) + s.close(), "<u4").tobytes()
 
+    def _from_stem(self, word: str, new: dict[str, bytes]) -> bytes | None:
+        """The ids of a word that is another and a full stop or comma, where its last piece and that may be neighbours."""
+        v, last = self.v, word[-1:]
+        if not v.bpe or last not in (".", ",") or last not in v.pieces or len(word) < 3:
+            return None
+        stem = word[:-1]
+        ids = self.known.get(stem) or new.get(stem)
+        if ids is None:
+            if not stem[-1:].isalpha():
+                return None
+            ids = new[stem] = self._word(stem)
+        end = v.strings[int.from_bytes(ids[-4:], "little")]
+        if end not in v.pieces or not v.neighbours(end, last):
+            return None
+        return ids + v.pieces[last].to_bytes(4, "little")
+
     def _short(self, word: str) -> bytes:
         """The same recursion for a word that fits the window, so that nothing is committed before its end."""
         v, whole, pairs, neighbours = self.v, self.v.whole, self.v._pairs, self.v.neighbours
@@ -239,7 +255,9 @@ class Codec:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             pass
-        new = {w: self._word(w) for w in set(words).difference(known)}
+        new: dict[str, bytes] = {}
+        for w in set(words).difference(known):
+            new[w] = self._from_stem(w, new) or self._word(w)
         if len(known) + len(new) <= CACHE_WORDS:
             known.update((w, b) for w, b in new.items() if len(w) <= 64)
         return b"".join(known.get(w) or new[w] for w in words)
