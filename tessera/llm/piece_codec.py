@@ -22,6 +22,7 @@ empty result; other columns of the input are not read. A null id stays null.
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 import zlib
@@ -40,6 +41,12 @@ CACHE_WORDS = 1_300_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+#: In place of ids: before the first piece, and a character that no piece has. Neither merges with anything.
+_FIRST, _NO_PIECE = -2, -1
+#: Under what a trie's node holds the id of the piece that ends there.
+_END = ""
+
+
 class Vocabulary:
     """The pieces of a model file, and which pairs of them may be neighbours."""
 
@@ -185,6 +192,7 @@ class Codec:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self._pairs: dict[int, bool] = {}
         spec = self.v.library
         self.prefix = bool(spec.encode("a") and spec.decode(spec.encode("a")) == "a" and spec.id_to_piece(spec.encode("a")[0]).startswith(MARK))
 
@@ -211,37 +219,65 @@ class Codec:
         return ids + v.pieces[last].to_bytes(4, "little")
 
     def _short(self, word: str) -> bytes:
-        """The same recursion for a word that fits the window, so that nothing is committed before its end."""
-        v, whole, pairs, neighbours = self.v, self.v.whole, self.v._pairs, self.v.neighbours
-        last = [""]  # the piece that ends at each boundary; None where no path does
-        reach = v.longest
-        for n in range(1, len(word) + 1):
+        """The same recursion for a word that fits the window, so that nothing is committed before its end.
+
+        The pieces that begin at a position are found by walking a trie of them.
+        """
+        v, pairs, root = self.v, self._pairs, self._trie
+        n = len(word)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        last: list[tuple[int, int] | None] = [(0, _FIRST)]  # where the piece that ends here begins, and its id
+        for i, c in enumerate(word):
+            node = root.get(c)
+            if node is None or _END not in node:
+                ends[i + 1].append((i, _NO_PIECE))
+            j = i
+            while node is not None:
+                j += 1
+                k = node.get(_END)
+                if k is not None:
+                    ends[j].append((i, k))
+                if j == n:
+                    break
+                node = node.get(word[j])
             found = None
-            for i in range(n - reach if n > reach else 0, n):
-                before = last[i]
+            for x in ends[i + 1]:  # from the longest
+                before = last[x[0]]
                 if before is None:
                     continue
-                piece = word[i:n]
-                if piece not in whole and n - i > 1:
-                    continue
-                if not before or (ok if (ok := pairs.get((before, piece))) is not None else neighbours(before, piece)):
-                    found = piece
+                p, q = before[1], x[1]
+                if p < 0 or q < 0:
+                    found = x
+                    break
+                ok = pairs.get(p << 20 | q)
+                if ok is None:
+                    ok = pairs[p << 20 | q] = v.neighbours(v.strings[p], v.strings[q])
+                if ok:
+                    found = x
                     break
             last.append(found)
-        parts, n = [], len(word)
-        while n:
-            parts.append(last[n])
-            n -= len(last[n])
         ids: list[int] = []
-        for p in reversed(parts):
-            k = whole.get(p)
-            if k is not None:
+        while n:
+            at, k = last[n]
+            if k >= 0:
                 ids.append(k)
             elif v.byte_ids:
-                ids += [v.byte_ids[b] for b in p.encode()]
+                ids += [v.byte_ids[x] for x in reversed(word[at:n].encode())]
             elif not ids or ids[-1] != v.unknown:
                 ids.append(v.unknown)
-        return np.array(ids, "<u4").tobytes()
+            n = at
+        ids.reverse()
+        return array.array("I", ids).tobytes()
+
+    @functools.cached_property
+    def _trie(self) -> dict:
+        root: dict = {}
+        for p, k in self.v.whole.items():
+            node = root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[_END] = k
+        return root
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
