@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import array
 import functools
+import itertools
 import json
 import os
 import re
@@ -30,6 +31,27 @@ def splits_at_space(path: str) -> bool:
     return set(norms) <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and spec.get("post_processor") is None
 
 
+#: Words of small letters a-z and U+00DF to U+00FF: composed, in lower case, and one match of a pattern that takes letters.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_level() -> dict[int, int]:
+    """Bytes to the characters that stand for them in byte-level vocabularies: printable ones themselves, the others from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+def _letters_alone(path: str) -> bool:
+    """Whether the split takes runs of letters as they are and then goes to bytes."""
+    steps = json.loads(open(path, encoding="utf-8").read())["pre_tokenizer"]["pretokenizers"]
+    last = steps[-1]
+    return len(steps) == 2 and r"[\p{L}]+" in steps[0].get("pattern", {}).get("Regex", "") and last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and not last.get("use_regex")
+
+
 def cut(data: bytes, limit: int) -> Iterator[bytes]:
     """Pieces of about ``limit`` bytes that end at white space; a single longer word stays whole."""
     at = 0
@@ -52,13 +74,24 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.plain = splits_at_space(path) and _letters_alone(path)
         self.cache_words = cache_words
         self.known: dict[bytes, bytes] = {}
         self.stops = {c: self._by_library([c])[0] for c in (b".", b",")}
 
     def _by_library(self, words: list[bytes]) -> list[bytes]:
-        got = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array.array("I", e.ids).tobytes() for e in got]
+        """The ids of each word. Plain words need none of the library's steps before its model."""
+        out: list[bytes] = [b""] * len(words)
+        rest = []
+        for k, w in enumerate(words):
+            if self.plain and PLAIN.fullmatch(w):
+                out[k] = array.array("I", [t.id for t in self.model.tokenize(w.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.library.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            out[k] = array.array("I", e.ids).tobytes()
+        return out
 
     def words(self, data: bytes) -> list[bytes]:
         # lower case first means fewer distinct words; not where it could make a special string
@@ -67,7 +100,7 @@ class WordTokenizer:
     def table(self, lists: Iterable[list[bytes]]) -> dict[bytes, bytes]:
         """A mapping that has every word of ``lists``."""
         known = self.known
-        missing = set().union(*lists).difference(known)
+        missing = set(itertools.filterfalse(known.__contains__, itertools.chain.from_iterable(lists)))
         if not missing:
             return known
         # a full stop or comma after an ASCII letter is a token of its own
