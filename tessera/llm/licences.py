@@ -84,7 +84,7 @@ UNKNOWN = "unknown"
 DIM = 1 << 16
 MAX_ROWS = 2000
 JOINED = 4
-MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.5
+MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
 _PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
 
 
