@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import array
 import functools
-import itertools
 import json
 import os
 import re
@@ -74,46 +73,12 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
-        self.plain = splits_at_space(path) and _letters_alone(path)
-        self.cache_words = cache_words
-        self.known: dict[bytes, bytes] = {}
-        self.stops = {c: self._by_library([c])[0] for c in (b".", b",")}
-
-    def _by_library(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word. Plain words need none of the library's steps before its model."""
-        out: list[bytes] = [b""] * len(words)
-        rest = []
-        for k, w in enumerate(words):
-            if self.plain and PLAIN.fullmatch(w):
-                out[k] = array.array("I", [t.id for t in self.model.tokenize(w.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
-            else:
-                rest.append(k)
-        for k, e in zip(rest, self.library.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False), strict=True):
-            out[k] = array.array("I", e.ids).tobytes()
-        return out
+        self.known = _Known(self.library, splits_at_space(path) and _letters_alone(path), cache_words)
 
     def words(self, data: bytes) -> list[bytes]:
         # lower case first means fewer distinct words; not where it could make a special string
         return (data if b"<|" in data else data.lower()).split()
 
-    def table(self, lists: Iterable[list[bytes]]) -> dict[bytes, bytes]:
-        """A mapping that has every word of ``lists``."""
-        known = self.known
-        missing = set(itertools.filterfalse(known.__contains__, itertools.chain.from_iterable(lists)))
-        if not missing:
-            return known
-        # a full stop or comma after an ASCII letter is a token of its own
-        stems = {w: w[:-1] for w in missing if w[-1:] in self.stops and len(w) > 1 and w[-2:-1].isalpha()}
-        ask = list({stems.get(w, w) for w in missing}.difference(known))
-        new = dict(zip(ask, self._by_library(ask), strict=True))
-        for w, stem in stems.items():
-            new[w] = (new.get(stem) or known[stem]) + self.stops[w[-1:]]
-        if len(known) + len(new) <= self.cache_words:
-            known.update(new)
-            return known
-        return _Two(new, known)
-
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; null is empty."""
         held: list[list[bytes]] = []
@@ -137,20 +102,33 @@ class WordTokenizer:
 
     def _flush(self, lists: list[list[bytes]]) -> Iterator[bytes]:
         if lists:
-            get = self.table(lists).__getitem__
+            get = self.known.__getitem__
             for words in lists:
                 yield b"".join(map(get, words))
 
 
-class _Two(dict):
-    """What is new in this slice over what the worker remembers."""
+class _Known(dict):
+    """Words to ids; a word that is new is encoded, and remembered while there is room."""
 
-    def __init__(self, new: dict[bytes, bytes], known: dict[bytes, bytes]):
-        super().__init__(new)
-        self.old = known
+    def __init__(self, library, plain: bool, limit: int):
+        super().__init__()
+        self.library, self.model, self.plain, self.limit = library, library.model, plain, limit
+        self.stops = {c: self._encode(c) for c in (b".", b",")}
 
     def __missing__(self, word: bytes) -> bytes:
-        return self.old[word]
+        # a full stop or comma after an ASCII letter is a token of its own
+        ids = self[word[:-1]] + self.stops[word[-1:]] if word[-1:] in self.stops and word[-2:-1].isalpha() else self._encode(word)
+        if len(self) < self.limit and len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def _encode(self, word: bytes) -> bytes:
+        """Plain words need none of the library's steps before its model."""
+        if self.plain and PLAIN.fullmatch(word):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_LEVEL))]
+        else:
+            ids = self.library.encode(word.decode(), add_special_tokens=False).ids
+        return array.array("I", ids).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
