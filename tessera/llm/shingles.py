@@ -210,3 +210,22 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple
             held.append(row[n_keys:])
     if held:
         yield key, [list(c) for c in zip(*held, strict=True)]
+
+
+def run_batches(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Key and rows of each run of equal first ``n_keys`` columns (whole numbers), as Arrow columns."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)], 1)
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])).tolist()
+        for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            now = tuple(keys[i].tolist())
+            if now != key:
+                if held:
+                    yield key, pa.Table.from_batches(held)
+                key, held = now, []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield key, pa.Table.from_batches(held)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.scratch import Scratch, partitions
-from tessera.llm.shingles import Forest, runs
+from tessera.llm.shingles import Forest, run_batches
 
 THRESHOLD = 0.95
 MISS = 1e-6
@@ -157,22 +157,26 @@ def _blocks(dealt: DataFrame, bits: int, threshold: float) -> DataFrame:
     full = tasks.join(dealt, "rep").select(*bucket, "i", "j", "side", "rep", "v", "copies", "code", "factor", F.slice("keys", 1, F.col("band")).alias("before"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (dim, _, _, i, j), (side, rep, v, copies, code, factor, before) in runs(batches, 5):
-            out = _task(dim, i == j, side, rep, v, copies, code, factor, before, threshold)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "n", "root"])
+        for (dim, _, _, i, j), rows in run_batches(batches, 5):
+            if rows.num_rows > 1:
+                out = _task(dim, i == j, rows, threshold)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["rep", "n", "root"])
 
     order = [*bucket, "i", "j"]
     return full.repartition(partitions(dealt.sparkSession), *order).sortWithinPartitions(*order, "side").mapInArrow(link, "rep long, n long, root long")
 
 
-def _task(dim: int, alone: bool, side: list, rep: list, v: list, copies: list, code: list, factor: list, before: list, threshold: float) -> list[tuple]:
-    n = len(rep) if alone else (side.index(1) if 1 in side else len(side))
-    if len(rep) < 2 or not alone and n in (0, len(rep)):
-        return []
-    x, keys = np.array(v, np.float64), np.array(before, np.int64).reshape(len(rep), -1)
-    codes = (np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(rep), -1), axis=1, count=dim) * 2.0 - 1) / math.sqrt(dim)
-    factors, copies = np.array(factor), np.array(copies, np.int64)
+def _task(dim: int, alone: bool, rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The linked vectors of a block, or of two if not ``alone``: their ids, numbers of links, and roots."""
+    column = lambda name: rows[name].combine_chunks()
+    rep, side, copies, factors = (column(c).to_numpy() for c in ("rep", "side", "copies", "factor"))
+    m, n = len(rep), len(rep) if alone else int(np.searchsorted(side, 1))
+    if not alone and n in (0, m):
+        return None
+    x = column("v").flatten().to_numpy().reshape(m, dim)
+    keys = column("before").flatten().to_numpy().reshape(m, -1)
+    codes = (np.unpackbits(np.frombuffer(b"".join(column("code").to_pylist()), np.uint8).reshape(m, -1), axis=1, count=dim) * 2.0 - 1) / math.sqrt(dim)
     if alone:
         a, b = links(x, None, codes, factors, threshold)
     else:
@@ -184,11 +188,10 @@ def _task(dim: int, alone: bool, side: list, rep: list, v: list, copies: list, c
         first[s] = ~(keys[a[s]] == keys[b[s]]).any(1)
     a, b = a[first], b[first]
     if not len(a):
-        return []
-    counts = np.zeros(len(rep), np.int64)
-    np.add.at(counts, a, copies[b])
-    np.add.at(counts, b, copies[a])
-    forest = Forest(len(rep))
+        return None
+    counts = np.bincount(a, copies[b], m).astype(np.int64) + np.bincount(b, copies[a], m).astype(np.int64)
+    forest = Forest(m)
     for p, q in zip(a.tolist(), b.tolist(), strict=True):
         forest.join(p, q)
-    return [(rep[k], int(counts[k]), rep[forest.root(k)]) for k in np.flatnonzero(counts).tolist()]
+    linked = np.flatnonzero(counts)
+    return rep[linked], counts[linked], rep[[forest.root(k) for k in linked.tolist()]]
