@@ -511,8 +511,10 @@ class GaussianMixture(Estimator):
     def _fit(self, data):
         k, p, seed = self.n_components, len(data.features), max(0, self.random_state)
         n, mean, g = moments(data)
-        self.means_ = start_centres(data, k, "k-means++", seed) if k > 1 else mean[None, :p]
-        self.covariances_ = np.tile(g / n + 1e-6 * np.eye(p), (k, 1, 1))
+        self.means_, self.covariances_ = mean[None, :p], np.tile(g / n + 1e-6 * np.eye(p), (k, 1, 1))
+        if k > 1:  # from K-means, with round components of its spread
+            self.means_, inertia, _ = lloyd(data, start_centres(data, k, "k-means++", seed), 20, 1e-4)
+            self.covariances_ = np.tile((inertia / (n * p) + 1e-6) * np.eye(p), (k, 1, 1))
         self.weights_, before = np.full(k, 1 / k), -math.inf
         for i in range(self.max_iter):
             def fn(x, y, w):
