@@ -1,8 +1,8 @@
 """Licence scans by a trained paragraph classifier.
 
 A multinomial logistic regression on hashed word one- to three-grams names the licence family of a paragraph, or that it
-is none. It is trained here on cuts and variants of the notices in ``NOTICES`` and on lines of at most ``max_rows``
-documents, which are examples of no licence unless they resemble a notice. A temperature, fitted on variants held back,
+is none. It is trained here on cuts and variants of the notices in ``NOTICES`` and on ``max_lines`` lines of at most
+``max_rows`` documents, which are examples of no licence unless they resemble a notice. A temperature, fitted on variants held back,
 calibrates its probabilities. What it predicts is confirmed by comparing the paragraph's word pairs with the notices of
 that family; a paragraph that no notice confirms is ``unknown``.
 
@@ -82,7 +82,7 @@ NOTICES = {
 FAMILIES = ("none", *NOTICES)
 UNKNOWN = "unknown"
 DIM = 1 << 16
-MAX_ROWS = 2000
+MAX_ROWS, MAX_LINES = 2000, 12_000
 JOINED = 4
 MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
 _PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
@@ -195,13 +195,19 @@ def train(negatives: list[bytes]) -> Model:
     return Model(w.astype(np.float32), b, float(min(losses, key=losses.get)))
 
 
-def fit(docs: DataFrame, *, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Negatives are lines of at most about ``max_rows`` documents; that bound is a parameter."""
-    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.substring(F.col(text_col).cast("string"), 1, 2000).alias("t")).filter("t is not null")
-    n = rows.count()
-    chosen = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < min(1.0, max_rows / max(1, n)) * (1 << 20)).select("t")
-    lines = sorted({x for r in chosen.toLocalIterator() for x in _clean(r["t"].encode()).split(b"\n") if x.strip()})[:20_000]
-    return train([x for x in lines if max(similarity(x, f) for f in NOTICES) < 0.3])
+def fit(docs: DataFrame, *, max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Negatives are ``max_lines`` lines, by a hash, of at most about ``max_rows`` documents; both bounds are parameters."""
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    share = min(1.0, max_rows / max(1, rows.count()))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {x for t in texts_of(batch, 0) for x in _clean(t.encode()).split(b"\n") if x.strip()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["line"])
+
+    chosen = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("t").mapInArrow(lines, "line binary").distinct()
+    got = [bytes(r["line"]) for r in chosen.orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()]
+    return train([x for x in got if max(similarity(x, f) for f in NOTICES) < 0.3])
 
 
 def _confirmed(paragraph: bytes, p: np.ndarray) -> tuple[str, float, float] | None:
