@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells (rows x columns) up to which a table is read to the driver once instead of being scanned in each pass.
-LOCAL_CELLS = 2_000_000
+LOCAL_CELLS = 8_000_000
 #: Rows up to which methods that need all pairs of rows run.
 PAIR_ROWS = 5_000
 
