@@ -366,3 +366,57 @@ def _stream_windows(s, d):
     out = windowed(_stream_source(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", "event_type")
     out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return s.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "by", "n", F.round("total", 4).alias("total"))
+
+
+# -- models of one feature or one step, whose results have a closed form ----------------------------------------------
+_ROWS = f"(SELECT CAST(q AS DOUBLE) AS q, CAST(d AS DOUBLE) AS d, CAST(price AS DOUBLE) AS price, status, flag FROM {LINE_SQL})"
+_BY = f"(SELECT status AS c, avg(q) AS m, var_pop(q) AS v, CAST(count(*) AS DOUBLE) AS n FROM {_ROWS} GROUP BY status)"
+
+
+def _votes(make):
+    return lambda s, d: make().fit(lines(s, d), ["q"], "status").predict(lines(s, d)).groupBy("status", "prediction").agg(F.count("*").alias("n"))
+
+
+_LDA = f"WITH z AS (SELECT sum(v * n) / (sum(n) - 2) AS p, max(CASE WHEN c = 1 THEN m END) AS m1, max(CASE WHEN c = 0 THEN m END) AS m0, ln(max(CASE WHEN c = 1 THEN n END) / max(CASE WHEN c = 0 THEN n END)) AS o FROM {_BY})"
+query("linear_discriminant_analysis_single", f"{_LDA} SELECT status, CASE WHEN q * (m1 - m0) / p - (m1 * m1 - m0 * m0) / (2 * p) + o > 0 THEN 1 ELSE 0 END AS prediction, count(*) AS n FROM {_ROWS} x, z GROUP BY 1, 2")(_votes(B.LinearDiscriminantAnalysis))
+_QDA = f"""WITH z AS (SELECT c, m, v * n / (n - 1) AS v, ln(n) AS o FROM {_BY}), w AS (SELECT a.m AS m1, a.v AS v1, a.o AS o1, b.m AS m0, b.v AS v0, b.o AS o0 FROM z a, z b WHERE a.c = 1 AND b.c = 0)"""
+query("quadratic_discriminant_analysis_single", f"{_QDA} SELECT status, CASE WHEN -0.5 * (pow(q - m1, 2) / v1 + ln(v1)) + o1 > -0.5 * (pow(q - m0, 2) / v0 + ln(v0)) + o0 THEN 1 ELSE 0 END AS prediction, count(*) AS n FROM {_ROWS} x, w GROUP BY 1, 2")(_votes(B.QuadraticDiscriminantAnalysis))
+query("complement_nb_weights", f"WITH a AS (SELECT sum(q) AS q, sum(d) AS d, sum(t) AS t FROM {_CNT}), c AS (SELECT flag, a.q - x.q + 1 AS q, a.d - x.d + 1 AS d, a.t - x.t + 1 AS t FROM {_CNT} x, a) SELECT flag, round(ln(q / (q + d + t)), 6) AS q, round(ln(d / (q + d + t)), 6) AS d, round(ln(t / (q + d + t)), 6) AS t FROM c")(lambda s, d: (lambda m: s.createDataFrame([(int(c), *(round(float(v), 6) for v in r)) for c, r in zip(m.classes_, m.feature_log_prob_, strict=True)], "flag int, q double, d double, t double"))(B.ComplementNB().fit(lines(s, d), X, "flag")))
+query("categorical_nb_table", f"WITH g AS (SELECT flag, CAST(count(*) AS DOUBLE) AS n FROM {_ROWS} GROUP BY flag), k AS (SELECT CAST(max(d) + 1 AS DOUBLE) AS k FROM {_ROWS}), v AS (SELECT DISTINCT CAST(round(d) AS BIGINT) AS v FROM {_ROWS}), c AS (SELECT flag, CAST(round(d) AS BIGINT) AS v, CAST(count(*) AS DOUBLE) AS c FROM {_ROWS} GROUP BY 1, 2) SELECT g.flag, v.v AS value, round(ln((coalesce(c, 0) + 1) / (n + k)), 6) AS logp FROM g CROSS JOIN v CROSS JOIN k LEFT JOIN c ON c.flag = g.flag AND c.v = v.v")(lambda s, d: (lambda m: s.createDataFrame([(int(c), j, round(float(m.tables_[0][i, j]), 6)) for i, c in enumerate(m.classes_) for j in range(m.tables_[0].shape[1])], "flag int, value long, logp double"))(B.CategoricalNB().fit(lines(s, d), ["d"], "flag")))
+query("pls_svd_single", f"SELECT round(sqrt(pow(corr(q, price), 2) + pow(corr(d, price), 2)), 6) AS s FROM {_ROWS}")(lambda s, d: value(s, s=round(float(D.PLSSVD(n_components=1).fit(lines(s, d), ["q", "d"], ["price"]).singular_values_[0]), 6)))
+query("pls_regression_single", _coef_sql("regr_slope(price, q)", "regr_intercept(price, q)"))(lambda s, d: (lambda m: s.createDataFrame([("q", round(float(m.coef_[0][0]), 4)), ("intercept", round(float(m.intercept_[0]), 4))], "term string, value double"))(D.PLSRegression(n_components=1).fit(lines(s, d), ["q"], ["price"])))
+query("pls_canonical_single", f"SELECT round(abs(corr(q, price)), 6) AS r FROM {_ROWS}")(lambda s, d: rounded(D.PLSCanonical(n_components=1).fit(lines(s, d), ["q"], ["price"]).transform(lines(s, d)).agg(F.abs(F.corr("x_score0", "y_score0")).alias("r"))))
+_SVR = "covar_pop(q, price) / (var_pop(q) + 100.0 / count(*))"
+query("svr_linear_single", _coef_sql(_SVR, f"avg(price) - avg(q) * {_SVR}"))(_coef(lambda: W.SVR(C=0.01), ["q"]))
+_R2 = f"SELECT round(regr_r2(price, q), 4) AS r2, round((SELECT avg(abs(price - a - b * q)) FROM {_ROWS}, (SELECT regr_slope(price, q) AS b, regr_intercept(price, q) AS a FROM {_ROWS})), 4) AS mae, count(*) AS n FROM {_ROWS}"
+for _n, _m in {
+    "voting_regressor_single": lambda: O.VotingRegressor(estimators=(("a", L.LinearRegression()), ("b", L.Lars()))), "transformed_target_regressor_single": lambda: O.TransformedTargetRegressor(regressor=L.LinearRegression(), transformer=StandardScaler()),
+    "pipeline_single": lambda: O.Pipeline([("scale", MinMaxScaler()), ("model", L.LinearRegression())]),
+}.items():
+    query(_n, _R2)(_regress(_m, ["q"]))
+query("multi_output_regressor_single", f"SELECT round(regr_r2(price, q), 4) AS price, round(regr_r2(d, q), 4) AS d FROM {_ROWS}")(lambda s, d: rounded(O.MultiOutputRegressor(estimator_factory=L.LinearRegression).fit(lines(s, d), ["q"], ["price", "d"]).predict(lines(s, d)).agg(M.r2_score("price", "prediction_price").alias("price"), M.r2_score("d", "prediction_d").alias("d")), 4))
+query("kmeans_single", f"SELECT round(avg(q), 3) AS q, round(avg(price), 3) AS price, round((var_pop(q) + var_pop(price)) * count(*) / 1000, 2) AS inertia FROM {_ROWS}")(lambda s, d: (lambda m: value(s, q=round(m.centers_[0][0], 3), price=round(m.centers_[0][1], 3), inertia=round(m.inertia_ / 1000, 2)))(C.KMeans(n_clusters=1).fit(lines(s, d), ["q", "price"])))
+# the best cut of one feature, by sums below and above every value
+_STUMP = f"""WITH g AS (SELECT q, CAST(count(*) AS DOUBLE) AS n, sum(price) AS s FROM {_ROWS} GROUP BY q), c AS (SELECT q, sum(n) OVER (ORDER BY q) AS n, sum(s) OVER (ORDER BY q) AS s, sum(n) OVER () AS zn, sum(s) OVER () AS zs FROM g),
+    b AS (SELECT * FROM c WHERE n < zn ORDER BY s * s / n + pow(zs - s, 2) / (zn - n) DESC, q LIMIT 1)"""
+
+
+def _stump(make):
+    def run(s, d):
+        m = make().fit(lines(s, d), ["q"], "price")
+        t = m.trees_[0] if "trees_" in vars(m) else m.stages_[0][0]
+        return value(s, cut=t.threshold[0], low=round(float(t.value[t.left[0]]), 4), high=round(float(t.value[t.right[0]]), 4))
+
+    return run
+
+
+query("decision_tree_regressor_stump", f"{_STUMP} SELECT q AS cut, round(s / n, 4) AS low, round((zs - s) / (zn - n), 4) AS high FROM b")(_stump(lambda: T.DecisionTreeRegressor(max_depth=1)))
+query("gradient_boosting_regressor_stump", f"{_STUMP} SELECT q AS cut, round(s / n - zs / zn, 4) AS low, round((zs - s) / (zn - n) - zs / zn, 4) AS high FROM b")(_stump(lambda: T.GradientBoostingRegressor(n_estimators=1, max_depth=1)))
+query("hist_gradient_boosting_regressor_stump", f"{_STUMP} SELECT q AS cut, round(s / n - zs / zn, 4) AS low, round((zs - s) / (zn - n) - zs / zn, 4) AS high FROM b")(_stump(lambda: T.HistGradientBoostingRegressor(max_iter=1, max_depth=1)))
+_XG = f"""WITH g AS (SELECT q, CAST(count(*) AS DOUBLE) AS n, sum(price - m) AS s FROM {_ROWS}, (SELECT avg(price) AS m FROM {_ROWS}) GROUP BY q), c AS (SELECT q, sum(n) OVER (ORDER BY q) AS n, sum(s) OVER (ORDER BY q) AS s, sum(n) OVER () AS zn, sum(s) OVER () AS zs FROM g),
+    b AS (SELECT * FROM c WHERE n < zn ORDER BY s * s / (n + 50) + pow(zs - s, 2) / (zn - n + 50) DESC, q LIMIT 1)"""
+query("xgb_regressor_stump", f"{_XG} SELECT q AS cut, round(s / (n + 50), 4) AS low, round((zs - s) / (zn - n + 50), 4) AS high FROM b")(_stump(lambda: T.XGBRegressor(n_estimators=1, max_depth=1, reg_lambda=50.0)))
+_GINI = f"""WITH g AS (SELECT q, CAST(count(*) AS DOUBLE) AS n, CAST(sum(status) AS DOUBLE) AS s FROM {_ROWS} GROUP BY q), c AS (SELECT q, sum(n) OVER (ORDER BY q) AS n, sum(s) OVER (ORDER BY q) AS s, sum(n) OVER () AS zn, sum(s) OVER () AS zs FROM g),
+    b AS (SELECT * FROM c WHERE n < zn ORDER BY (s * s + pow(n - s, 2)) / n + (pow(zs - s, 2) + pow(zn - n - zs + s, 2)) / (zn - n) DESC, q LIMIT 1)"""
+query("decision_tree_classifier_stump", f"{_GINI} SELECT q AS cut, round(s / n, 6) AS low, round((zs - s) / (zn - n), 6) AS high FROM b")(lambda s, d: (lambda t: value(s, cut=t.threshold[0], low=round(float(t.value[t.left[0]][1]), 6), high=round(float(t.value[t.right[0]][1]), 6)))(T.DecisionTreeClassifier(max_depth=1).fit(lines(s, d), ["q"], "status").trees_[0]))
+query("ridge_classifier_single", f"WITH y AS (SELECT q, status, CASE WHEN status = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM {_ROWS}), m AS (SELECT covar_pop(q, y) / (var_pop(q) + 1.0 / count(*)) AS b, avg(y) AS a, avg(q) AS mq FROM y) SELECT status, CASE WHEN a + b * (q - mq) > 0 THEN 1 ELSE 0 END AS prediction, count(*) AS n FROM y, m GROUP BY 1, 2")(_votes(L.RidgeClassifier))
