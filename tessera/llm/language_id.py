@@ -39,7 +39,7 @@ MAX_DOCS = 4000
 MAX_WORDS = 30_000
 ROUNDS = 4
 #: Distinct words that a worker remembers.
-CACHE_WORDS, SLICE_WORDS = 600_000, 60_000
+CACHE_WORDS, SLICE_WORDS = 400_000, 60_000
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _HAS_LETTER = regex.compile(r"\p{L}")
 #: The vocabulary's mark of a word's beginning.

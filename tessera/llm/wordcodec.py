@@ -16,8 +16,8 @@ from collections.abc import Iterable, Iterator
 
 #: Where a long text may be cut: the ASCII white space at which ``bytes.split`` cuts.
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
-#: Distinct words that a worker remembers, about 150 bytes each.
-CACHE_WORDS = 1_200_000
+#: Distinct words that a worker remembers, about 200 bytes each; it keeps them while it runs other stages.
+CACHE_WORDS = 500_000
 #: Bytes of text that are encoded together, and beyond which one text is cut.
 SLICE_BYTES = 1 << 20
 
