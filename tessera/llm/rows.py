@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.wordcodec import worker_tokenizer
+
 #: Rows whose texts are Python objects at a time.
 ROWS = 256
 
@@ -23,6 +25,7 @@ def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list
     plain = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_tokenizer.cache_clear()  # what this worker remembers from packing has no use here
         passes = judge()
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
