@@ -6,7 +6,8 @@ evolved on several islands: a chromosome is a partition of the shard's pieces in
 bins of one parent into the other, drops the bins that hold duplicates and best-fits what was displaced. After each epoch
 every island receives its neighbour's elite. An island stops when it reaches the shard's lower bound, the tokens over
 the capacity. What the emptiest bin of each shard holds goes to the next level's shards, so that the waste at shard edges
-is packed again, until one shard is left.
+is packed again, until one shard is left. A level has no more shards than its tokens fill with ``SHARD_BINS`` bins each:
+short pieces share a shard of more than ``shard_items`` then, and a level passes on an eighth of its tokens at most.
 
 Shards and chromosomes have a bounded size whatever the corpus; nothing is collected to the driver but row counts.
 
@@ -30,6 +31,8 @@ from tessera.llm.wordcodec import splits_at_space, worker_tokenizer
 
 CAPACITY = 4096
 SHARD_ITEMS = 4096
+#: Bins of a shard, in tokens, from which a level has more than one shard. A shard of one bin would only pass it on.
+SHARD_BINS = 16
 ISLANDS = 2
 EPOCHS = 3
 GENERATIONS = 12
@@ -245,13 +248,18 @@ def _pack_level(items: DataFrame, n_shards: int, scratch: Scratch, *, capacity:
     return out
 
 
-def pack_items(items: DataFrame, n_items: int, scratch: Scratch, *, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
-    """(uid, sequence_id, offset) for items (uid long, unique; length int, at most ``capacity``)."""
+def count_and_tokens(items: DataFrame) -> tuple[int, int]:
+    return tuple(items.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first())
+
+
+def pack_items(items: DataFrame, n_items: int, n_tokens: int, scratch: Scratch, *, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
+    """(uid, sequence_id, offset) for items (uid long, unique; length int, from 1 to ``capacity``), of which there are ``n_items`` with ``n_tokens`` tokens."""
     opts = {"capacity": capacity, "islands": islands, "epochs": epochs, "generations": generations, "population": population}
     placed: list[DataFrame] = []
-    level, n = 0, n_items
+    level, n, tokens = 0, n_items, n_tokens
     while n:
-        n_shards = -(-n // shard_items)
+        # n_shards > 1 means tokens > SHARD_BINS * capacity, and a shard passes on one bin: tokens / 16 + capacity at most
+        n_shards = min(-(-n // shard_items), -(-tokens // (SHARD_BINS * capacity)))
         bins = _pack_level(items, n_shards, scratch, level=level, **opts)
         final = bins
         if n_shards > 1:
@@ -259,7 +267,7 @@ def pack_items(items: DataFrame, n_items: int, scratch: Scratch, *, capacity: in
             on = (F.col("shard") == F.col("s")) & (F.col("bin") == F.col("t"))
             final = bins.join(tail, on, "left_anti")
             items = bins.join(tail, on, "left_semi").select(F.explode(F.arrays_zip("uids", "size")).alias("x")).select(F.col("x.uids").alias("uid"), F.col("x.size").alias("length"))
-            n = items.count()
+            n, tokens = count_and_tokens(items)
         else:
             n = 0
         placed.append(final.select((-(F.lit(level) * (1 << 52) + F.col("shard") * (1 << 16) + F.col("bin")) - 1).alias("sequence_id"), "uids", "size"))
@@ -278,6 +286,6 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     scratch = Scratch(docs.sparkSession, "pack")
     cut = scratch.save(pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     loose = cut.filter(F.col("length") < capacity)
-    seats = pack_items(loose.select("uid", F.col("length").cast("int").alias("length")), loose.count(), scratch, capacity=capacity, **options)
+    seats = pack_items(loose.select("uid", F.col("length").cast("int").alias("length")), *count_and_tokens(loose), scratch, capacity=capacity, **options)
     whole = cut.filter(F.col("length") >= capacity).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return whole.unionByName(loose.join(seats, "uid")).drop("uid")

@@ -102,6 +102,34 @@ def test_pack(spark):
     assert packing.pack(df.filter("false"), JSON).collect() == []
 
 
+@pytest.fixture
+def few_levels(monkeypatch):
+    pack_level, seen = packing._pack_level, []
+
+    def counted(items, n_shards, *rest, **options):
+        seen.append(n_shards)
+        assert len(seen) <= 4, f"shards by level: {seen}"
+        return pack_level(items, n_shards, *rest, **options)
+
+    monkeypatch.setattr(packing, "_pack_level", counted)
+
+
+def test_pack_ends_on_empty_texts(spark, few_levels):
+    df = spark.createDataFrame([(i, "" if i % 2 else None) for i in range(5000)], "doc_id long, text string")
+    got = packing.pack(df, JSON).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == [(i, 0, 1) for i in range(5000)]
+    assert valid(got, 4096) == 2
+
+
+def test_pack_ends_with_a_third_of_texts_empty(spark, few_levels):
+    rng = random.Random(4)
+    size = [1 if i % 3 == 0 else min(4000, max(2, int(rng.lognormvariate(5, 1)))) for i in range(20_000)]
+    items = spark.createDataFrame(list(enumerate(size)), "uid long, length int")
+    got = packing.pack_items(items, *packing.count_and_tokens(items), packing.Scratch(spark, "test")).join(items, "uid").collect()
+    assert sorted(r.uid for r in got) == list(range(20_000))
+    assert -(-sum(size) // 4096) <= valid(got, 4096) <= -(-sum(size) // 4096) + 1
+
+
 def test_the_genetic_algorithm_repairs_what_best_fit_misses():
     rng = random.Random(1)
     capacity, size = 1000, []
