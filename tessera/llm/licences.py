@@ -75,6 +75,7 @@ NOTICES = {
         "Licensed under the Mozilla Public License, version 2.0.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form without prior written permission.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ),
@@ -133,6 +134,12 @@ def similarity(paragraph: bytes, family: str) -> float:
     return max(max(len(own & t) / len(t), len(own & t) / len(own) if len(own) >= 6 else 0.0) for t in templates()[family])
 
 
+def resembles(paragraph: bytes) -> bool:
+    """Whether it holds 0.3 of a notice, or half of it, however short, is in one; such a line is no example of no licence."""
+    own = pairs(paragraph)
+    return any(len(own & t) >= 0.3 * len(t) or len(own & t) >= 0.5 * len(own) for ts in templates().values() for t in ts) if own else False
+
+
 def variants(seed: int, copies: int) -> list[tuple[str, str]]:
     """(paragraph, family): notices with words dropped, cut to a part, or between other words."""
     rng, out = random.Random(seed), []
@@ -207,7 +214,7 @@ def fit(docs: DataFrame, *, max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES
 
     chosen = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("t").mapInArrow(lines, "line binary").distinct()
     got = [bytes(r["line"]) for r in chosen.orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()]
-    return train([x for x in got if max(similarity(x, f) for f in NOTICES) < 0.3])
+    return train([x for x in got if not resembles(x)])
 
 
 def _confirmed(paragraph: bytes, p: np.ndarray) -> tuple[str, float, float] | None:

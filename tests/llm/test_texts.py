@@ -214,6 +214,21 @@ def test_licence_scan_of_documents(spark):
     assert total and hits == total and not false
 
 
+def test_licence_scan_finds_every_planted_line(spark):
+    marks = {"mit": "MIT License", "apache-2.0": "Apache License", "gpl": "General Public License", "cc-by-nc": "CC BY-NC", "proprietary": "All rights reserved."}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {(i, k, f) for i, t in texts.items() for k, line in enumerate(t.split("\n")) for f, m in marks.items() if m in line}
+    got = {(r.doc_id, f.line, f.family) for r in licences.scan(docs).collect() for f in r.found if f.family != "unknown"}
+    assert sum(f == "proprietary" for *_, f in want) == 66 and got == want
+
+
+def test_short_licence_lines_are_no_negatives():
+    clean = licences._clean
+    assert all(licences.resembles(clean(x)) for x in (b"All rights reserved.", b"All rights", b"MIT License", b"the BSD License", b"Copyright 2020 X. All rights reserved."))
+    assert not any(licences.resembles(clean(x)) for x in (b"", b"reserved", b"the quick brown fox jumps over it", b"all about software and its use in public"))
+
+
 @pytest.fixture(scope="module")
 def scanner():
     return licences.train([licences._clean(w.encode()) for w in ("the quick brown fox jumps over it", "all about software and its use in public", "version three of the text was free", "we copy files under the desk")] * 30)
