@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.wordcodec import worker_tokenizer
+from tessera.llm.wordcodec import release_words
 
-#: Rows whose texts are Python objects at a time.
-ROWS = 256
+#: Rows, and bytes of their texts, that are Python objects at a time; a longer text is alone.
+ROWS, SLICE_BYTES = 512, 1 << 21
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = ROWS, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with at most ``rows`` texts and about ``limit`` bytes of them."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        n = min(rows, max(1, int(np.searchsorted(ends, before + limit, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -25,11 +39,10 @@ def keep_rows(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list
     plain = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_tokenizer.cache_clear()  # what this worker remembers from packing has no use here
+        release_words()  # what this worker remembers from packing has no use here
         passes = judge()
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
+            for part in slices(batch, at):
                 yield part.filter(pa.array(passes(part.column(at).to_pylist()), pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
@@ -47,8 +60,7 @@ def map_text(docs: DataFrame, text_col: str, extra: DataFrame, on: str, change:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
+            for part in slices(batch, at):
                 new = change(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())
                 cols = [pa.array(new, pa.string()) if i == at else part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1])

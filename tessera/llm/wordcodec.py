@@ -134,3 +134,8 @@ class _Known(dict):
 @functools.lru_cache(maxsize=2)
 def worker_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
+
+
+def release_words() -> None:
+    """Forgets what this worker remembers, which a stage that encodes nothing has no use for."""
+    worker_tokenizer.cache_clear()

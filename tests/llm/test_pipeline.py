@@ -4,9 +4,11 @@ import random
 
 import corpus_pipeline
 from tests.llm.test_dedup import brute, key
-from tests.llm.test_texts import brute_counts
+from tests.llm.test_texts import brute_counts, brute_language
 from tests.llm.test_tokens import pieces_of, valid
 
+from tessera.llm import language_id
+from tessera.llm.q_tokens import vocabulary
 from tessera.llm.quality_rules import _Judge, fit_references
 
 
@@ -20,8 +22,8 @@ def fixture():
     texts = [prose(rng.randrange(50, 160)) + "\n" + prose(30) for _ in range(60)]
     near = texts[0].split()
     near[7] = "changed"
-    texts += [" ".join(near), " ".join(texts[1].split("\n")) + " tail", "one two three", None, "", "12 34 56 78", "spam ham spam ham spam " * 20, "A shared footer line of all\n" + prose(60), prose(60) + "\nA shared footer line of all ", "| # | " * 60, prose(40) * 60]
-    return [(i * 3 + 1, t, "en" if i % 4 else None, f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    texts += [" ".join(near), " ".join(texts[1].split("\n")) + " tail", "one two three", None, "", "12 34 56 78", "Zqxj wvkk qqzx jjxq vvzq xkqj " * 4, "spam ham spam ham spam " * 20, "A shared footer line of all\n" + prose(60), prose(60) + "\nA shared footer line of all ", "| # | " * 60, prose(40) * 60]
+    return [(i * 3 + 1, t, "en" if i % 4 and "qqzx" not in (t or "") else None, f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
@@ -31,8 +33,11 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "quality_rules", "line_dedup", "minhash_dedup", "best_fit_packing"]
 
-    # language: without a letter a document goes
-    left = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    # language: by the model's own probabilities, summed by a plain recursion; a null language is filled
+    model = language_id.fit(spark.createDataFrame(rows, schema), vocabulary("piece_bpe_32k.model"))
+    said = {r[0]: brute_language(model, r[1]) for r in rows}
+    left = [(*r[:2], r[2] or said[r[0]][0], *r[3:]) for r in rows if said[r[0]][2] and said[r[0]][1] >= language_id.MIN_SCORE]
+    assert any(c.isalpha() for r in rows if r[1] and r[0] not in {x[0] for x in left} for c in r[1])
     docs = stages["language_id"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(map(tuple, docs.collect())) == sorted(left)

@@ -41,6 +41,70 @@ def test_forward_sums_all_segmentations(words):
         assert np.allclose(a[n, :, 0], want) and np.allclose(b[0, :, 0], want)
 
 
+def test_words_of_any_length_take_the_same_pass(monkeypatch):
+    m = language_id.fit_words({"x": Counter({"abab": 5, "ba": 3, "cab": 2}), "y": Counter({"ccc": 4, "bc": 4})}, {"x": 1, "y": 1}, MODEL, 2)
+    words, counts = ["abab", "kabab", "z", "ccccc", "日本語", "abcabcabcab"], np.array([1.0, 2, 3, 4, 5, 6])
+    logs, uses = m.lattice.log_prob(words, m.p), m.lattice.uses(words, counts, m.p[:, 0])
+    monkeypatch.setattr(language_id, "LONG", 3)
+    assert np.allclose(m.lattice.log_prob(words, m.p), logs) and np.allclose(m.lattice.uses(words, counts, m.p[:, 0]), uses)
+    # the sum over segmentations across what was a cut: a long word is no more probable than its parts without the sum
+    (whole,) = m.lattice.log_prob(["ab" * 4000], m.p)
+    assert np.isfinite(whole).all() and (whole < -4000).all()
+
+
+def test_fit_in_spark_equals_fit_in_one_process(spark):
+    rows = [(i, "the cat and the dog " + "ab" * 30, "en") for i in range(5)] + [(i, "der hund und die katze", "de") for i in range(9, 12)] + [(20, None, "en"), (21, "no label", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), MODEL)
+    counts = {"en": Counter(), "de": Counter()}
+    for _, t, x in rows:
+        if t and x:
+            counts[x].update(t.split())
+    want = language_id.fit_words(counts, {"en": 5, "de": 3}, MODEL)
+    assert model.languages == want.languages == ["de", "en"] and np.allclose(model.p, want.p) and np.allclose(model.log_prior, want.log_prior)
+
+
+def brute_language(model, text):
+    """Language, score, and whether it beats uniform pieces, by a plain recursion over the segmentations."""
+    columns = [*model.p.T, np.full(len(model.p), 1 / len(model.p))]
+    ids = model.lattice.ids
+
+    def total(word, p):
+        ways = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            ways[j] = sum(ways[i] * p[ids[word[i:j]]] for i in range(j) if word[i:j] in ids) + (ways[j - 1] * p[-1] if word[j - 1] not in ids else 0)
+        return np.log(ways[-1])
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words:
+        return "und", 0.0, False
+    logs = [sum(total("▁" + w, p) for w in words) for p in columns]
+    joint = np.array(logs[:-1]) + model.log_prior
+    k = int(joint.argmax())
+    return model.languages[k], 1 / sum(np.exp((x - joint[k]) / np.sqrt(len(words))) for x in joint), logs[k] > logs[-1]
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs, MODEL, max_docs=100)
+    rows = [(r.doc_id, r.text[:300]) for r in docs.orderBy("doc_id").limit(40).collect()] + [(-1, "zqxj wvkk qqzx jjxq vvzq xkqj"), (-2, "Zażółć gęślą jaźń"), (-3, "12 !!"), (-4, None), (-5, "the")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(df, model).collect()}
+    want = {i: brute_language(model, t) for i, t in rows}
+    assert all(got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-4 for i, w in want.items())
+    kept = {r.doc_id: r.lang for r in language_id.keep_known(df, model).collect()}
+    assert kept == {i: w[0] for i, w in want.items() if w[2] and w[1] >= language_id.MIN_SCORE}
+    # a letter alone doesn't save a text
+    assert -1 not in kept and any(c.isalpha() for c in rows[-5][1]) and len(kept) >= 40
+    assert {r.doc_id for r in language_id.keep_known(df, model, languages=["de"]).collect()} == {i for i, x in kept.items() if x == "de"}
+    assert language_id.keep_known(df, model, min_score=1.1).count() == 0
+
+
+def test_an_unlabelled_corpus_stays(spark):
+    df = spark.createDataFrame([(1, "the of and", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    model = language_id.fit(df, MODEL)
+    assert model.languages == [] and [r.doc_id for r in language_id.keep_known(df, model).collect()] == [1]
+
+
 def test_expectation_maximisation_raises_the_likelihood():
     counts = {"x": Counter({"abab": 5, "ba": 3, "cab": 2}), "y": Counter({"ccc": 4, "bc": 4})}
     likes = []
@@ -70,7 +134,8 @@ def test_language_edges(spark):
     got = {(r.doc_id, r.lang_pred) for r in language_id.predict(df, model).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (5, "de"), (None, "fr")} <= got
     kept = language_id.keep_known(df, model)
-    assert kept.columns == df.columns and kept.count() == 6
+    # letters of scripts that no language has are explained no better than by chance
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {4, 5, None}
     assert language_id.predict(df.filter("false"), model).collect() == []
     blank = language_id.fit(docs.filter("false"), MODEL)
     assert {r.lang_pred for r in language_id.predict(df, blank).collect()} == {"und"}
