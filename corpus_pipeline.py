@@ -20,7 +20,7 @@ from tessera.llm.scratch import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text, or without a letter, go."""
+    """Documents that aren't in a language of the corpus go, by the model's score and by its comparison with uniform pieces; a null lang is filled."""
     return language_id.keep_known(docs, language_id.fit(docs, vocabulary("piece_bpe_32k.model")))
 
 
