@@ -19,6 +19,9 @@ class CuckooFilter:
     was inserted n times stays until it was deleted n times. Only keys that were inserted may be deleted.
     """
 
+    #: Share of the slots beyond which a filter is built anew: under it nearly every key finds a slot.
+    FULL = 0.8
+
     def __init__(self, buckets: int, table: np.ndarray | None = None):
         if buckets & (buckets - 1):
             raise ValueError("the number of buckets must be a power of two")
@@ -28,7 +31,12 @@ class CuckooFilter:
 
     @classmethod
     def of_size(cls, keys: int) -> CuckooFilter:
-        return cls(1 << max(4, int(np.ceil(np.log2(max(1, keys) / (SLOTS * 0.8))))))
+        return cls(1 << max(4, int(np.ceil(np.log2(max(1, keys) / (SLOTS * cls.FULL))))))
+
+    @property
+    def room(self) -> int:
+        """Keys it takes before it is full."""
+        return int(self.buckets * SLOTS * self.FULL)
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = mix(keys.astype(U, copy=False))

@@ -4,8 +4,10 @@ Documents become token ids with an end id; only those longer than a sequence are
 are done. The others are dealt by a hash of a row number into shards of about ``shard_items`` pieces, and each shard is
 evolved on several islands: a chromosome is a partition of the shard's pieces into bins, crossover injects well-filled
 bins of one parent into the other, drops the bins that hold duplicates and best-fits what was displaced. After each epoch
-every island receives its neighbour's elite. An island stops when it reaches the shard's lower bound, the tokens over
-the capacity. What the emptiest bin of each shard holds goes to the next level's shards, so that the waste at shard edges
+every island receives its neighbour's elite. Fewer bins are better, and of as many bins those filled more unequally, so
+that a shard's free space gathers in the bin that it passes on. Every island runs ``MIN_GENERATIONS`` generations an epoch
+and every shard ``MIN_EPOCHS`` epochs, so its elites migrate at least once; after that an island stops when it reaches the
+shard's lower bound, the tokens over the capacity. What the emptiest bin of each shard holds goes to the next level's shards, so that the waste at shard edges
 is packed again, until one shard is left. A level has no more shards than its tokens fill with ``SHARD_BINS`` bins each:
 short pieces share a shard of more than ``shard_items`` then, and a level passes on an eighth of its tokens at most.
 
@@ -27,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
-from tessera.llm.wordcodec import splits_at_space, worker_tokenizer
+from tessera.llm.shingles import texts_of
+from tessera.llm.wordcodec import by_bytes, splits_at_space, worker_tokenizer
 
 CAPACITY = 4096
 SHARD_ITEMS = 4096
@@ -37,6 +40,8 @@ ISLANDS = 2
 EPOCHS = 3
 GENERATIONS = 12
 POPULATION = 6
+#: Beyond these an island ends as soon as it has no more bins than its tokens need.
+MIN_GENERATIONS, MIN_EPOCHS = 2, 2
 #: A bin this full is worth injecting whole.
 WELL_FILLED = 0.98
 
@@ -118,28 +123,24 @@ def mutate(a: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
     return best_fit(loose, size, capacity, [x for x in a if id(x) not in ids])
 
 
-def evolve(size: list[int], capacity: int, generations: int, population: int, seed: int, elites: list[Bins] = ()) -> Bins:
-    """The best of one island after ``generations``; ``elites`` join the first population."""
-    rng, bound = random.Random(seed), lower_bound(size, capacity)
+def evolve(size: list[int], capacity: int, generations: int, population: int, seed: int, elites: list[Bins] = ()) -> tuple[Bins, int]:
+    """The best of one island after ``generations``, and how often it crossed; ``elites`` join the first population."""
+    rng, bound, crossed = random.Random(seed), lower_bound(size, capacity), 0
     down = sorted(range(len(size)), key=lambda i: -size[i])
-    pool: list[Bins] = [list(e) for e in elites]
-    if not pool:
-        pool.append(best_fit(down, size, capacity))
+    pool: list[Bins] = [list(e) for e in elites] or [best_fit(down, size, capacity)]
     score = lambda x: fitness(x, size, capacity)
-    best = min(pool, key=score)
-    if len(best) <= bound:
-        return best
     while len(pool) < population:
         pool.append(best_fit(sorted(down, key=lambda i: -size[i] * rng.uniform(0.7, 1.4)), size, capacity))
-    for _ in range(generations):
-        pool.sort(key=score)
-        best = pool[0]
-        if len(best) <= bound:
+    ranked = sorted(((score(x), k, x) for k, x in enumerate(pool)), key=lambda x: x[:2])
+    for g in range(generations):
+        if g >= MIN_GENERATIONS and len(ranked[0][2]) <= bound:
             break
-        parents = pool[: max(2, population // 2)]
-        young = [crossover(*rng.sample(parents, 2), size, capacity, rng) for _ in range(population - len(parents) - 1)]
-        pool = [*parents, *young, mutate(best, size, capacity, rng)]
-    return min(pool, key=score)
+        parents = ranked[: max(2, population // 2)]
+        young = [crossover(*(x[2] for x in rng.sample(parents, 2)), size, capacity, rng) for _ in range(max(1, population - len(parents) - 1))]
+        crossed += len(young)
+        young.append(mutate(ranked[0][2], size, capacity, rng))
+        ranked = sorted([*parents, *((score(x), (g + 1) * population + k, x) for k, x in enumerate(young))], key=lambda x: x[:2])
+    return ranked[0][2], crossed
 
 
 def _flat(bins: Bins, n: int) -> list[int]:
@@ -168,7 +169,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encode = _encoder(tokenizer)
         for batch in batches:
             row, piece, length, crc = [], [], [], []
-            for k, ids in enumerate(encode(batch.column(1).to_pylist())):
+            for k, ids in enumerate(encode(texts_of(batch, 1))):
                 ids += end
                 for p, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -187,11 +188,11 @@ def _encoder(path: str):
     words = worker_tokenizer(path)
     if splits_at_space(path):
         return words.encode
-    return lambda texts: (np.array(e.ids, "<u4").tobytes() for e in words.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False))
+    return lambda texts: (np.array(e.ids, "<u4").tobytes() for part in by_bytes(texts) for e in words.library.encode_batch_fast(part, add_special_tokens=False))
 
 
 # -- the islands ------------------------------------------------------------------------------------------------------
-_STATE = "shard long, island int, uids array<long>, size array<int>, flat array<int>, n_bins int, bound int"
+_STATE = "shard long, island int, uids array<long>, size array<int>, flat array<int>, n_bins int, bound int, loose double, crossed int, migrated int"
 
 
 def _epoch(state: DataFrame, capacity: int, generations: int, population: int, seed: int, names: tuple[str, ...]) -> DataFrame:
@@ -202,18 +203,20 @@ def _epoch(state: DataFrame, capacity: int, generations: int, population: int, s
             for row in batch.to_pylist():
                 size, bound = row["size"], lower_bound(row["size"], capacity)
                 elites = [_bins(row[c]) for c in names if row.get(c)]
-                best = evolve(size, capacity, generations, population, hash((seed, row["shard"], row["island"])), elites)
-                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "island": row["island"], "uids": row["uids"], "size": size, "flat": _flat(best, len(size)), "n_bins": len(best), "bound": bound}], schema=_schema())
+                best, crossed = evolve(size, capacity, generations, population, hash((seed, row["shard"], row["island"])), elites)
+                came = int(row.get("elite") is not None)
+                out = {"shard": row["shard"], "island": row["island"], "uids": row["uids"], "size": size, "flat": _flat(best, len(size)), "n_bins": len(best), "bound": bound, "loose": fitness(best, size, capacity)[1], "crossed": (row.get("crossed") or 0) + crossed, "migrated": (row.get("migrated") or 0) + came}
+                yield pa.RecordBatch.from_pylist([out], schema=_schema())
 
     return state.mapInArrow(run, _STATE)
 
 
 def _schema() -> pa.Schema:
-    return pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("uids", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("flat", pa.list_(pa.int32())), ("n_bins", pa.int32()), ("bound", pa.int32())])
+    return pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("uids", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("flat", pa.list_(pa.int32())), ("n_bins", pa.int32()), ("bound", pa.int32()), ("loose", pa.float64()), ("crossed", pa.int32()), ("migrated", pa.int32())])
 
 
-def _pack_level(items: DataFrame, n_shards: int, scratch: Scratch, *, capacity: int, islands: int, epochs: int, generations: int, population: int, level: int) -> DataFrame:
-    """(shard, bin, uids, size, space) for the bins of the best island of each shard."""
+def _pack_level(items: DataFrame, n_shards: int, scratch: Scratch, *, capacity: int, islands: int, epochs: int, generations: int, population: int, level: int, report: list[DataFrame] | None = None) -> DataFrame:
+    """(shard, bin, uids, size, space) for the bins of the best island of each shard; ``report`` gets a table of what its islands did."""
     first = (
         items.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(n_shards)))
         .groupBy("shard")
@@ -223,9 +226,10 @@ def _pack_level(items: DataFrame, n_shards: int, scratch: Scratch, *, capacity:
     )
     state = scratch.save(_epoch(first, capacity, generations, population, level, ()), f"islands{level}")
     for epoch in range(1, epochs):
-        # shards that reached their bound are done; the others exchange elites
-        short = state.groupBy("shard").agg(F.min(F.col("n_bins") - F.col("bound")).alias("over")).filter("over > 0").select(F.col("shard").alias("s"))
-        if short.isEmpty():
+        # all exchange elites at first, then the shards that are over their bound
+        over = state.groupBy("shard").agg(F.min(F.col("n_bins") - F.col("bound")).alias("over"))
+        short = (over if epoch < MIN_EPOCHS else over.filter("over > 0")).select(F.col("shard").alias("s"))
+        if epoch >= MIN_EPOCHS and short.isEmpty():
             break
         open_ = state.join(short, F.col("shard") == F.col("s"), "left_semi")
         came = open_.select(F.col("shard").alias("s"), F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("to"), F.col("flat").alias("elite"))
@@ -234,7 +238,9 @@ def _pack_level(items: DataFrame, n_shards: int, scratch: Scratch, *, capacity:
         old = state
         state = scratch.save(nxt.unionByName(state.join(short, F.col("shard") == F.col("s"), "left_anti")), f"islands{level}")
         scratch.drop(old)
-    best = state.groupBy("shard").agg(F.min_by(F.struct("uids", "size", "flat"), F.struct("n_bins", "island")).alias("b"))
+    if report is not None:
+        report.append(scratch.save(state.select(F.lit(level).alias("level"), "shard", "island", F.size("uids").alias("items"), "n_bins", "bound", "loose", "crossed", "migrated"), f"report{level}"))
+    best = state.groupBy("shard").agg(F.min_by(F.struct("uids", "size", "flat"), F.struct("n_bins", "loose", "island")).alias("b"))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,9 +258,9 @@ def count_and_tokens(items: DataFrame) -> tuple[int, int]:
     return tuple(items.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first())
 
 
-def pack_items(items: DataFrame, n_items: int, n_tokens: int, scratch: Scratch, *, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
+def pack_items(items: DataFrame, n_items: int, n_tokens: int, scratch: Scratch, *, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, report: list[DataFrame] | None = None) -> DataFrame:
     """(uid, sequence_id, offset) for items (uid long, unique; length int, from 1 to ``capacity``), of which there are ``n_items`` with ``n_tokens`` tokens."""
-    opts = {"capacity": capacity, "islands": islands, "epochs": epochs, "generations": generations, "population": population}
+    opts = {"capacity": capacity, "islands": islands, "epochs": epochs, "generations": generations, "population": population, "report": report}
     placed: list[DataFrame] = []
     level, n, tokens = 0, n_items, n_tokens
     while n:

@@ -1,8 +1,9 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-An Arrow batch is encoded in slices balanced by bytes, and a longer text is cut at white space where that is safe: the
-count is then the sum over its parts. Tokenizers that let tokens cross white space get whole texts. Only two numbers a
-document leave the worker.
+The texts of an Arrow batch are cut into parts and the parts dealt into slices balanced by bytes; each slice is one call
+of the library's batch encoding. A text is cut only where it is longer than a slice, at white space that no token of the
+tokenizer crosses, and its count is the sum over its parts. Tokenizers that let tokens cross white space get whole texts.
+Only two numbers a document leave the worker.
 
 Defined results: a null or empty text has no bytes and no tokens; a text of any length is counted whole; rows that
 repeat are counted each; an empty table gives an empty result; other columns of the input are not read, whatever their
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.wordcodec import SLICE_BYTES, splits_at_space, worker_tokenizer
+from tessera.llm.rows import slices
+from tessera.llm.wordcodec import SLICE_BYTES, by_bytes, cut, library, release_words, splits_at_space
 
 #: Tokens beyond which a document is over the limit.
 LIMIT = 2048
@@ -32,11 +34,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     dtype = docs.schema[id_col].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_words()  # what this worker remembers from packing has no use here
         counter = _counter(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = counter(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for part in slices(batch, 1, limit=SLICE_BYTES):
+                texts = part.column(1).to_pylist()
+                n = counter(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, f"doc_id {dtype.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
@@ -48,23 +52,22 @@ def _counter(path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for part in _slices(texts) for x in model.encode(part, num_threads=1)]
-    if splits_at_space(path):
-        words = worker_tokenizer(path)
-        return lambda texts: [len(ids) >> 2 for ids in words.encode(texts)]
-    library = worker_tokenizer(path).library
-    return lambda texts: [len(e) for part in _slices(texts) for e in library.encode_batch_fast(part, add_special_tokens=False)]
-
-
-def _slices(texts: list[str | None]) -> Iterator[list[str]]:
-    """Runs of texts of about SLICE_BYTES."""
-    held: list[str] = []
-    size = 0
-    for t in texts:
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= SLICE_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        encode, safe = lambda texts: map(len, model.encode(texts, num_threads=1)), False
+    else:
+        tokenizer = library(path)
+        encode, safe = lambda texts: map(len, tokenizer.encode_batch_fast(texts, add_special_tokens=False)), splits_at_space(path)
+
+    def count(texts: list[str | None]) -> list[int]:
+        owner, parts = [], []
+        for k, t in enumerate(texts):
+            for part in [t or ""] if not safe or len(t or "") < SLICE_BYTES // 4 else (x.decode() for x in cut(t.encode(), SLICE_BYTES)):
+                owner.append(k)
+                parts.append(part)
+        out = [0] * len(texts)
+        of = iter(owner)
+        for some in by_bytes(parts):
+            for n in encode(some):
+                out[next(of)] += n
+        return out
+
+    return count

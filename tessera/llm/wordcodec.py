@@ -63,23 +63,43 @@ def cut(data: bytes, limit: int) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
+def by_bytes(texts: Iterable[str | None], limit: int = SLICE_BYTES) -> Iterator[list[str]]:
+    """Runs of texts of about ``limit`` bytes; null is empty, and a longer text ends its run."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1]) if held[-1].isascii() else len(held[-1].encode())
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def library(path: str):
+    """The tokenizer of a file, without truncation, padding or threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit bytes, for one worker process."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = library(path)
         self.known = _Known(self.library, splits_at_space(path) and _letters_alone(path), cache_words)
 
     def words(self, data: bytes) -> list[bytes]:
         # lower case first means fewer distinct words; not where it could make a special string
         return (data if b"<|" in data else data.lower()).split()
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; null is empty."""
         held: list[list[bytes]] = []
         size = 0

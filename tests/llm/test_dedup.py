@@ -220,6 +220,36 @@ def test_inserts_and_deletes_are_reversible(spark):
     assert digest(one.delete(frame(a[:1]).select("doc_id")).kept(frame(rest)).collect()) == brute_lines(rest)
 
 
+def test_growing_inserts_and_deletes(spark):
+    """Ten inserts, each larger than the one before, with deletes between: the rows, the counts and the filters' load."""
+    index, held, next_id, rng = LineIndex(spark, shard_keys=300), {}, 0, random.Random(5)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    lines = [f"line of the pool number {k}" for k in range(2000)]
+    for step in range(10):
+        size = 3 + 2 * step * step
+        rows = [(next_id + k, "\n".join([*rng.sample(lines, 6), f"its own line {next_id + k}", "a line of all documents"])) for k in range(size)]
+        next_id += size
+        if step == 4:  # a document comes again with more lines, and one that was deleted comes back
+            rows += [(0, held[0] + "\na line of all documents\nanother one of it"), back]
+        index = index.insert(frame(rows))
+        for i, t in rows:
+            held[i] = t
+        if step % 3 == 2:
+            out = rng.sample(sorted(set(held) - {0}), len(held) // 4)
+            back = (out[0], held[out[0]])
+            index = index.delete(frame([(i, "") for i in out]))
+            held = {i: t for i, t in held.items() if i not in out}
+        if step in (4, 9):
+            assert digest(index.kept(frame(list(held.items()))).collect()) == brute_lines(list(held.items()))
+        filters = [(r.keys, r.room, CuckooFilter.from_bytes(bytes(r.filter))) for r in index.filters.collect()]
+        assert all(keys <= room and not f.stash and np.count_nonzero(f.table) == keys for keys, room, f in filters)
+        assert sum(k for k, *_ in filters) == index.shared == index.counts.filter("n > 1").count()
+    assert index.shards > 1 and len(index._refs.parts) <= 8
+    fresh = LineIndex(spark).insert(frame(list(held.items())))
+    assert sorted(map(tuple, index.refs.collect())) == sorted(map(tuple, fresh.refs.collect()))
+    assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, fresh.counts.collect()))
+
+
 def test_null_ids_and_repeated_rows_of_lines(spark):
     df = spark.createDataFrame([(None, "the same long line"), (4, "the same long line"), (4, "the same long line"), (7, "the same long line")], "doc_id long, text string")
     got = sorted(((r.doc_id or -1, r.n_dropped) for r in dedup_lines(df).collect()))

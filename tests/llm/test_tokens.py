@@ -52,6 +52,14 @@ def test_token_counts(spark):
     assert token_counts(df.filter("false"), JSON).collect() == []
 
 
+def test_token_counts_of_long_texts():
+    """Cut at white space into several parts in several batches."""
+    from tessera.llm import token_counts as tc
+
+    long = ["Hello, World. it's <|endoftext|> 12,5 É " * 40_000, "x" * 1_500_000, "日本 " * 300_000, None, "a"]
+    assert tc._counter(JSON)(long) == [len(x) for x in lib_ids([t or "" for t in long])]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts_of_other_tokenizers(spark, name):
     path = vocabulary(name)
@@ -139,7 +147,8 @@ def test_the_genetic_algorithm_repairs_what_best_fit_misses():
     rng.shuffle(size)
     down = sorted(range(len(size)), key=lambda i: -size[i])
     greedy = packing.best_fit(down, size, capacity)
-    best = packing.evolve(size, capacity, 200, 12, 0)
+    best, crossed = packing.evolve(size, capacity, 200, 12, 0)
+    assert crossed
     assert sorted(i for b in best for i in b) == list(range(len(size)))
     assert all(sum(size[i] for i in b) <= capacity for b in best)
     assert packing.lower_bound(size, capacity) == 40 <= len(best) < len(greedy)
@@ -158,6 +167,27 @@ def test_crossover_keeps_every_item_once(size, seed):
         assert all(sum(size[i] for i in x) <= 50 for x in child)
 
 
+def test_every_shard_is_evolved_and_its_elites_migrate(spark):
+    """The query's own path, with its default parameters: best fit alone would already reach the bound."""
+    docs, report = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    got = packing.pack(docs, JSON, report=report).collect()
+    islands = [r for t in report for r in t.collect()]
+    assert {(r.shard, r.island) for r in islands if r.level == 0} >= {(0, 0), (0, 1)}
+    for r in islands:
+        assert r.crossed >= packing.MIN_GENERATIONS * packing.MIN_EPOCHS and r.migrated >= packing.MIN_EPOCHS - 1
+    total = sum(r.length for r in got)
+    assert valid(got, 4096) == -(-total // 4096)
+
+
+def test_evolution_gathers_free_space():
+    rng = random.Random(3)
+    size = [min(900, max(1, int(rng.lognormvariate(4, 1)))) for _ in range(600)]
+    down = sorted(range(len(size)), key=lambda i: -size[i])
+    greedy = packing.best_fit(down, size, 1000)
+    best, crossed = packing.evolve(size, 1000, 6, 6, 0)
+    assert crossed >= 2 and packing.fitness(best, size, 1000) <= packing.fitness(greedy, size, 1000) and sorted(i for b in best for i in b) == sorted(down)
+
+
 # -- pieces -----------------------------------------------------------------------------------------------------------
 def model():
     import sentencepiece
