@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
+from tessera.llm.skew import join_one
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b) that isn't the smallest of its component.
 
-    Each round is two grouped minima and two equi-joins, whose hot keys Spark can split; every round is written, so that
-    lineage stays short. It ends when a round changes nothing.
+    Each round is two grouped minima and two joins to them, in which the rows of hubs are dealt out; every round is
+    written, so that lineage stays short. It ends when a round changes nothing.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = _sum(e)
@@ -20,11 +21,11 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         if not before[0]:
             break
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy(F.col("x").alias("k")).agg(F.min("y").alias("m"))
-        large = both.filter("y > x").join(least, F.col("x") == F.col("k")).select(F.col("y").alias("u"), F.least("m", "x").alias("v")).distinct()
-        down = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        small = large.join(down, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        nxt = scratch.save(small.unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("c"))
+        large = join_one(both.filter("y > x"), least, ["x"], ["m"], "c", F.col("y")).select(F.col("y").alias("u"), F.least("m", "x").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = join_one(large, down, ["u"], ["m"], "c", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        nxt = scratch.save(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         scratch.drop(e)
         e, now = nxt, _sum(nxt)
         if now == before:

@@ -1,15 +1,21 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
 A vector's code is the sign pattern of its randomly rotated direction; with it goes a correction factor, the inner product
-of the rotated direction and its code. For any other vector q, <code, q> / factor is an unbiased estimate of the cosine,
-with a confidence bound from the factor. Pairs whose upper bound is under the threshold are done; the cosine of the
-others is recomputed from the vectors in double precision, so no link is below the threshold.
+of the rotated direction and its code. For any other direction q, <code, q> / factor is an unbiased estimate of the cosine,
+with a confidence bound from the factor. The other vector is itself in whole numbers of ``QUERY_BITS`` bits a coordinate,
+rounded at random so that the estimate stays unbiased, and inner products are counts of common bits. Pairs whose upper
+bound is under the threshold are done; the cosine of the others is recomputed from the vectors in double precision, so no
+link is below the threshold.
 
 Candidate pairs share a bucket: several of the signs of one of many rotations. The number of signs follows the logarithm
 of the number of vectors, and that of the buckets a vector is in follows from ``MISS``, the probability that a pair at
 the threshold shares none. Equal vectors are one class. Buckets are split into blocks of ``BLOCK`` vectors and the pairs
-of blocks into tasks; a pair counts in the first of its common buckets. A task returns a row per linked vector, the
-number of its links and the root of a spanning forest, never a row per pair.
+of blocks into tasks. There are two passes: in the first only codes meet, and a task returns which of its vectors have a
+pair that may be linked; in the second these vectors meet again with their components. A pair counts in the first of its
+common buckets. A task returns a row per linked vector, the number of its links and the root of a spanning forest, never
+a row per pair.
+
+Vectors are scaled by a power of two before anything else, so very small and very large components count as they should.
 
 Defined results: a vector that is null, empty or zero, or holds nulls or non-finite numbers, links with nothing; vectors
 of different lengths never link; rows that repeat a vec_id are one vector for components and count as one link each;
@@ -22,6 +28,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.scratch import Scratch, partitions
-from tessera.llm.shingles import Forest, run_batches
+from tessera.llm.shingles import Forest, U, mix, run_batches
+from tessera.llm.skew import join_one
 
 THRESHOLD = 0.95
 MISS = 1e-6
@@ -38,6 +46,7 @@ BLOCK = 512
 #: Standard errors that the confidence bound holds.
 EPSILON = 5.0
 SEED = 20
+QUERY_BITS = 4
 
 
 @functools.lru_cache(maxsize=64)
@@ -54,11 +63,72 @@ def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int,
     return bits, math.ceil(math.log(miss) / math.log1p(-same))
 
 
-def encode(directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sign codes (rows of +-1/sqrt(dim)) of the rotated directions, and their correction factors."""
-    turned = directions @ rotation(directions.shape[1], 0).T
-    codes = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(directions.shape[1])
-    return codes, (codes * turned).sum(1)
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    wide = np.zeros((len(bits), -(-bits.shape[1] // 64) * 8), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return wide.view(np.uint64)
+
+
+@dataclass
+class Codes:
+    """Of some vectors: sign codes and factors, and the rotated directions as ``low + step * whole number``, in planes of bits."""
+
+    dim: int
+    code: np.ndarray  # vectors x words
+    planes: np.ndarray  # vectors x QUERY_BITS x words
+    factor: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+    total: np.ndarray  # sum of the whole numbers
+
+    @classmethod
+    def of(cls, directions: np.ndarray, ids: np.ndarray) -> Codes:
+        dim = directions.shape[1]
+        turned = directions @ rotation(dim, 0).T
+        low, top = turned.min(1), turned.max(1)
+        step = (top - low) / ((1 << QUERY_BITS) - 1)
+        # the same rounding wherever a vector is encoded
+        draw = (mix(ids.astype(U)[:, None] * U(0x9E3779B97F4A7C15) + np.arange(dim, dtype=U)) >> U(11)) * 2.0**-53
+        whole = np.floor((turned - low[:, None]) / np.where(step > 0, step, 1)[:, None] + draw).clip(0, (1 << QUERY_BITS) - 1).astype(np.uint8)
+        planes = np.stack([_words(whole >> k & 1) for k in range(QUERY_BITS)], 1)
+        return cls(dim, _words(turned >= 0), planes, np.abs(turned).sum(1) / math.sqrt(dim), low, step, whole.sum(1, dtype=np.int64))
+
+    def rows(self) -> list[pa.Array]:
+        """Columns ``FIELDS``."""
+        blob = [np.concatenate([c, p.ravel()]).tobytes() for c, p in zip(self.code, self.planes, strict=True)]
+        return [pa.array(blob, pa.binary()), pa.array(np.stack([self.factor, self.low, self.step, self.total], 1).tolist(), pa.list_(pa.float64()))]
+
+    FIELDS = "code binary, code_of array<double>"
+
+    @classmethod
+    def from_rows(cls, dim: int, code: pa.Array, code_of: pa.Array) -> Codes:
+        words = -(-dim // 64)
+        m = np.frombuffer(b"".join(code.to_pylist()), np.uint64).reshape(len(code), 1 + QUERY_BITS, words)
+        of = code_of.flatten().to_numpy().reshape(len(code), 4)
+        return cls(dim, m[:, 0], m[:, 1:], of[:, 0], of[:, 1], of[:, 2], of[:, 3])
+
+    def __getitem__(self, at: slice) -> Codes:
+        return Codes(self.dim, self.code[at], self.planes[at], self.factor[at], self.low[at], self.step[at], self.total[at])
+
+    def estimates(self, other: Codes) -> tuple[np.ndarray, np.ndarray]:
+        """Unbiased estimates of the cosines of these vectors, by their whole numbers, with the ``other`` ones, by their codes; and confidence bounds."""
+        common = np.zeros((len(self.low), len(other.factor)), np.int64)
+        for w in range(self.code.shape[1]):
+            for k in range(QUERY_BITS):
+                common += np.bitwise_count(self.planes[:, k, w][:, None] & other.code[:, w][None, :]).astype(np.int64) << k
+        ones = np.bitwise_count(other.code).sum(1, dtype=np.int64)
+        inner = self.low[:, None] * (2 * ones - self.dim)[None, :] + self.step[:, None] * (2 * common - self.total[:, None])
+        # dim - 1 degrees of freedom hold what the code leaves of the direction; rounding adds at most half a step each
+        spread = (np.maximum(1 - other.factor**2, 0) / max(1, self.dim - 1))[None, :] + (self.step**2 / 4)[:, None]
+        return inner / math.sqrt(self.dim) / other.factor[None, :], EPSILON * np.sqrt(spread) / other.factor[None, :]
+
+    def likely(self, other: Codes | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places (i, j) of the pairs that may be linked; of these vectors among themselves (i < j) without ``other``."""
+        estimate, bound = self.estimates(self if other is None else other)
+        found = estimate + bound >= threshold
+        return np.nonzero(np.triu(found, 1) if other is None else found)
 
 
 def bucket_keys(directions: np.ndarray, bits: int, bands: int) -> np.ndarray:
@@ -75,28 +145,24 @@ def bucket_keys(directions: np.ndarray, bits: int, bands: int) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its greatest component near one: sums of squares stay finite, cosines the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _directions(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def links(x: np.ndarray, y: np.ndarray | None, codes: np.ndarray, factors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs of x with y (or x with itself, i < j) at or above the threshold.
-
-    ``codes`` and ``factors`` are those of y, or of x where y is None.
-    """
-    q = _directions(x)
-    estimate = (q @ rotation(x.shape[1], 0).T) @ (codes / factors[:, None]).T
-    # dim - 1 degrees of freedom hold what the code leaves of the direction
-    bound = EPSILON * np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 / max(1, x.shape[1] - 1))
-    likely = estimate + bound[None, :] >= threshold
-    i, j = np.nonzero(np.triu(likely, 1) if y is None else likely)
-    other = x if y is None else y
-    exact = np.empty(len(i))
+def linked(x: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) of rows of ``x`` have a cosine of at least the threshold, in double precision."""
+    x = scaled(x)
+    squares, exact = (x * x).sum(1), np.empty(len(i))
     for at in range(0, len(i), 1 << 16):
-        a, b = x[i[at : at + (1 << 16)]], other[j[at : at + (1 << 16)]]
-        exact[at : at + (1 << 16)] = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
-    ok = exact >= threshold
-    return i[ok], j[ok]
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        exact[at : at + (1 << 16)] = (x[a] * x[b]).sum(1) / np.sqrt(squares[a] * squares[b])
+    return exact >= threshold
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -111,12 +177,12 @@ def vector_dedup(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     vectors = table.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
     classes = scratch.save(_classes(vectors).groupBy("h", "g").agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("copies")).select("h", "g", F.col("m.vec_id").alias("rep"), F.col("m.v").alias("v"), "copies"), "classes")
     bits, bands = plan(classes.count(), threshold)
-    dealt = scratch.save(_dealt(classes, bits, bands), "codes")
-    found = scratch.save(_blocks(dealt, bits, threshold), "links")
-    members = _classes(vectors).select("vec_id", "h", "g").join(classes.select("h", "g", "rep", "copies"), ["h", "g"])
+    coded = scratch.save(_coded(classes, bits, bands), "codes")
+    tasks = scratch.save(_tasks(coded, threshold), "likely")
+    found = scratch.save(_linked(tasks, coded, classes, threshold), "links")
     n = found.groupBy(F.col("rep").alias("r")).agg(F.sum("n").alias("n"))
-    counted = members.join(n, F.col("rep") == F.col("r"), "left").select("vec_id", "rep", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    counted = scratch.save(counted, "counted")
+    each = classes.join(n, F.col("rep") == F.col("r"), "left").select("h", "g", "rep", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    counted = scratch.save(join_one(_classes(vectors).select("vec_id", "h", "g"), each, ["h", "g"], ["rep", "n_links"], "copies", F.col("vec_id")).select("vec_id", "rep", "n_links"), "counted")
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(counted.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     labels = components(edges, scratch)
     ids = table.select(F.col(id_col).cast("long").alias("vec_id"))
@@ -124,12 +190,12 @@ def vector_dedup(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     out = ids.join(per_id, F.col("vec_id") == F.col("i"), "left").join(labels, F.col("vec_id") == F.col("node"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "result")
-    scratch.drop(classes, dealt, found, counted)
+    scratch.drop(classes, coded, tasks, found, counted)
     return out
 
 
-def _dealt(classes: DataFrame, bits: int, bands: int) -> DataFrame:
-    """Each class with its code, factor and bucket keys."""
+def _coded(classes: DataFrame, bits: int, bands: int) -> DataFrame:
+    """Each class with its code and bucket keys, without its components."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,51 +203,82 @@ def _dealt(classes: DataFrame, bits: int, bands: int) -> DataFrame:
             for dim in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == dim))
                 d = _directions(part.column(1).flatten().to_numpy().reshape(-1, dim))
-                codes, factors = encode(d)
                 keys = bucket_keys(d, bits, bands)
-                packed = np.packbits(codes > 0, axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(factors), lists], names=["rep", "v", "copies", "code", "factor", "keys"])
+                codes = Codes.of(d, part.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([dim] * len(d), pa.int32()), *codes.rows(), lists], names=["rep", "dim", "code", "code_of", "keys"])
+
+    return classes.select("rep", "v").mapInArrow(code, f"rep long, dim int, {Codes.FIELDS}, keys array<long>")
+
+
+_BUCKET = ["dim", "band", "key"]
+_ORDER = [*_BUCKET, "i", "j"]
+
+
+def _tasks(coded: DataFrame, threshold: float) -> DataFrame:
+    """(dim, band, key, i, j, side, rep) of the vectors that may have a link in a task, which is a pair of blocks of a bucket."""
+    rows = coded.select("dim", F.posexplode("keys").alias("band", "key"), "rep")
+    sizes = rows.groupBy(*_BUCKET).agg(F.count("*").alias("c")).filter("c > 1").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    seats = join_one(rows, sizes, _BUCKET, ["blocks"], "c", F.col("rep")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    seats = seats.select(*_BUCKET, "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    seats = seats.select(*_BUCKET, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep")
+    full = seats.join(coded.select("rep", "code", "code_of"), "rep").select(*_ORDER, "side", "rep", "code", "code_of")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (dim, *_, i, j), rows in run_batches(batches, 5):
+            n = _split(rows, i == j)
+            if n:
+                a, b = _likely(dim, rows, n, threshold)
+                at = pa.array(np.union1d(a, b))
+                if len(at):
+                    yield from rows.select([*_ORDER, "side", "rep"]).take(at).combine_chunks().to_batches()
 
-    return classes.select("rep", "v", "copies").mapInArrow(code, "rep long, v array<double>, copies long, code binary, factor double, keys array<long>")
+    return _dealt(full).mapInArrow(meet, "dim int, band int, key long, i int, j int, side int, rep long")
 
 
-def _blocks(dealt: DataFrame, bits: int, threshold: float) -> DataFrame:
-    """(rep, n, root) of the linked vectors of each task, which is a pair of blocks of a bucket."""
-    rows = dealt.select(F.size("v").alias("dim"), F.posexplode("keys").alias("band", "key"), "rep")
-    bucket = ["dim", "band", "key"]
-    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("c")).filter("c > 1").select(*bucket, F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    seats = rows.join(sizes, bucket).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    seats = seats.select(*bucket, "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = seats.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep")
-    full = tasks.join(dealt, "rep").select(*bucket, "i", "j", "side", "rep", "v", "copies", "code", "factor", F.slice("keys", 1, F.col("band")).alias("before"))
+def _linked(tasks: DataFrame, coded: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n, root) of the linked vectors of each task."""
+    full = tasks.join(coded.select("rep", "code", "code_of", "keys"), "rep").join(classes.select("rep", "v", "copies"), "rep")
+    full = full.select(*_ORDER, "side", "rep", "v", "copies", "code", "code_of", F.slice("keys", 1, F.col("band")).alias("before"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (dim, _, _, i, j), rows in run_batches(batches, 5):
-            if rows.num_rows > 1:
-                out = _task(dim, i == j, rows, threshold)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["rep", "n", "root"])
-
-    order = [*bucket, "i", "j"]
-    return full.repartition(partitions(dealt.sparkSession), *order).sortWithinPartitions(*order, "side").mapInArrow(link, "rep long, n long, root long")
-
-
-def _task(dim: int, alone: bool, rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """The linked vectors of a block, or of two if not ``alone``: their ids, numbers of links, and roots."""
-    column = lambda name: rows[name].combine_chunks()
-    rep, side, copies, factors = (column(c).to_numpy() for c in ("rep", "side", "copies", "factor"))
-    m, n = len(rep), len(rep) if alone else int(np.searchsorted(side, 1))
-    if not alone and n in (0, m):
-        return None
-    x = column("v").flatten().to_numpy().reshape(m, dim)
-    keys = column("before").flatten().to_numpy().reshape(m, -1)
-    codes = (np.unpackbits(np.frombuffer(b"".join(column("code").to_pylist()), np.uint8).reshape(m, -1), axis=1, count=dim) * 2.0 - 1) / math.sqrt(dim)
-    if alone:
-        a, b = links(x, None, codes, factors, threshold)
-    else:
-        a, b = links(x[:n], x[n:], codes[n:], factors[n:], threshold)
-        b = b + n
+        for (dim, *_, i, j), rows in run_batches(batches, 5):
+            n = _split(rows, i == j)
+            out = _task(dim, rows, n, threshold) if n else None
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["rep", "n", "root"])
+
+    return _dealt(full).mapInArrow(link, "rep long, n long, root long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), *_ORDER).sortWithinPartitions(*_ORDER, "side", "rep")
+
+
+def _split(rows: pa.Table, alone: bool) -> int:
+    """Where the second block begins, or the end of the only one; 0 if there are no pairs."""
+    m = rows.num_rows
+    n = m if alone else int(np.searchsorted(rows["side"].to_numpy(), 1))
+    return 0 if m < 2 or (not alone and n in (0, m)) else n
+
+
+def _likely(dim: int, rows: pa.Table, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    codes = Codes.from_rows(dim, rows["code"].combine_chunks(), rows["code_of"].combine_chunks())
+    if n == rows.num_rows:
+        return codes.likely(None, threshold)
+    a, b = codes[:n].likely(codes[n:], threshold)
+    return a, b + n
+
+
+def _task(dim: int, rows: pa.Table, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The linked vectors of a task: their ids, numbers of links, and roots."""
+    m = rows.num_rows
+    rep, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
+    x = rows["v"].combine_chunks().flatten().to_numpy().reshape(m, dim)
+    keys = rows["before"].combine_chunks().flatten().to_numpy().reshape(m, -1)
+    a, b = _likely(dim, rows, n, threshold)
+    ok = linked(x, a, b, threshold)
+    a, b = a[ok], b[ok]
     first = np.ones(len(a), bool)
     for at in range(0, len(a), 1 << 16):
         s = slice(at, at + (1 << 16))
@@ -193,5 +290,5 @@ def _task(dim: int, alone: bool, rows: pa.Table, threshold: float) -> tuple[np.n
     forest = Forest(m)
     for p, q in zip(a.tolist(), b.tolist(), strict=True):
         forest.join(p, q)
-    linked = np.flatnonzero(counts)
-    return rep[linked], counts[linked], rep[[forest.root(k) for k in linked.tolist()]]
+    linked_ = np.flatnonzero(counts)
+    return rep[linked_], counts[linked_], rep[[forest.root(k) for k in linked_.tolist()]]

@@ -150,17 +150,58 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert {(q.vec_id, q.n_links, q.component_id, q.kept) for q in none} == {(None, 0, None, True), (1, 0, 1, True)}
 
 
-def test_the_estimate_is_unbiased_and_bounded():
-    from tessera.llm.vector_dedup import EPSILON, encode, rotation
+@pytest.mark.parametrize("dim", [64, 100])
+def test_the_estimate_is_unbiased_and_bounded(dim):
+    from tessera.llm.vector_dedup import Codes
 
     rng = np.random.default_rng(0)
-    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 3000, 64)))
-    codes, factors = encode(y)
-    q = x @ rotation(64, 0).T
-    error = (q * codes).sum(1) / factors - (x * y).sum(1)
-    bound = EPSILON * np.sqrt((1 - factors**2) / factors**2 / 63)
-    assert abs(error.mean()) < 4 * error.std() / np.sqrt(len(error))
-    assert (np.abs(error) <= bound).all()
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 1500, dim)))
+    y[:700] = x[:700] + 0.03 * y[:700]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = Codes.of(x, np.arange(1500)), Codes.of(y, np.arange(5000, 6500))
+    a = Codes.from_rows(dim, *a.rows())  # as executors get them
+    estimate, bound = a.estimates(b)
+    error = estimate - x @ y.T
+    one = np.diag(error)
+    assert abs(one[700:].mean()) < 4 * one[700:].std() / np.sqrt(800) and abs(one[:700].mean()) < 4 * one[:700].std() / np.sqrt(700)
+    assert (np.abs(error) <= bound).mean() > 1 - 1e-5 and bound.mean() < 0.8
+    i, j = a.likely(b, 0.95)
+    assert set(zip(*np.nonzero(x @ y.T >= 0.95), strict=True)) <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_very_small_and_very_large_vectors(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [5e-324, 0.0]), (5, [1e308, 0.0]), (6, [-1e308, 0.0])]
+    got = vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
+
+
+def test_a_hot_bucket_with_few_links_is_refined(spark, monkeypatch):
+    """Members that share a bucket and little more meet in finer ones; the result is the same."""
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "REFINE", 20)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(100)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            t[rng.randrange(len(t))] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    called, finer = [], nd._finer
+    monkeypatch.setattr(nd, "_finer", lambda *a: called.append(1) or finer(*a))
+    got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert called and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 80)
+
+
+def test_hot_keys_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import skew
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1500).alias("k"), "id")
+    one = rows.groupBy("k").agg(F.max("id").alias("v"), F.count("*").alias("c")).filter("c > 1")
+    want = sorted(map(tuple, rows.join(one, "k").select("k", "id", "v").collect()))
+    assert sorted(map(tuple, skew.join_one(rows, one, ["k"], ["v"], "c", F.col("id")).collect())) == want
 
 
 # -- lines ------------------------------------------------------------------------------------------------------------
