@@ -1,13 +1,22 @@
 """Licence scans by a trained paragraph classifier.
 
 A multinomial logistic regression on hashed word one- to three-grams names the licence family of a paragraph, or that it
-is none. It is trained here on cuts and variants of the notices in ``NOTICES`` and on ``max_lines`` lines of at most
-``max_rows`` documents, which are examples of no licence unless they resemble a notice. A temperature, fitted on variants held back,
-calibrates its probabilities. What it predicts is confirmed by comparing the paragraph's word pairs with the notices of
-that family; a paragraph that no notice confirms is ``unknown``.
+is a licence of no known family (``unknown``), or none. It is trained here on cuts and variants of the notices in
+``NOTICES``; for ``unknown``, on those in ``OTHERS`` and on notices whose distinctive words are exchanged for other words;
+and on about ``max_lines`` lines of the documents, chosen by a hash of the line among all lines, which are examples of no
+licence unless they resemble a notice. That bound is a parameter.
 
-Paragraphs are the lines of a text, and runs of up to ``JOINED`` lines for notices that are wrapped; a run counts if none
-of its lines does. All lines of all texts are scored, from hashes of their words that are taken together.
+A temperature calibrates the probabilities. It is fitted on what training has not seen: in each of ``FOLDS`` rounds whole
+families, others' notices and lines are left out, and a notice of a family that was left out counts as ``unknown``.
+
+What is predicted is confirmed by comparing the paragraph with the family's notices, on their words and word pairs, each
+weighted by how few families have it: what all notices share ("licensed under the ... license") confirms nothing. A
+paragraph that no notice confirms is ``unknown``.
+
+Paragraphs are the lines of a text, and runs of lines for notices that are wrapped. A run begins at any line that looks
+like a licence or holds a word pair that few families have, and grows, over any number of lines, as long as one of the
+next ``STEP`` lines makes it no less like a notice; a blank line ends it. All lines of all texts are scored, from hashes of
+their words that are taken together.
 
 Defined results: a null or empty text has no paragraphs; rows that repeat are scanned each; an empty table gives an empty
 result; other columns of the input are not read.
@@ -16,7 +25,9 @@ result; other columns of the input are not read.
 from __future__ import annotations
 
 import functools
+import math
 import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,6 +80,41 @@ NOTICES = {
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
         "SPDX-License-Identifier: MIT",
     ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
+    "artistic-2.0": (
+        "Licensed under the Artistic License 2.0.",
+        "This library is free software; you can redistribute it and/or modify it under the Artistic License.",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "cc0": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0 Universal.",
+        "This work is marked CC0 1.0. Public Domain Dedication.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "Released under the Unlicense.",
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Licensed under the zlib License.",
+    ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -80,12 +126,30 @@ NOTICES = {
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ),
 }
-FAMILIES = ("none", *NOTICES)
+# Notices of licences that are no family, examples of an unknown one.
+OTHERS = (
+    "Licensed under the EUPL, Version 1.2 or later.",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.",
+    "This database is made available under the Open Database License.",
+    "Licensed under the Python Software Foundation License Version 2.",
+    "This program is free software. It comes without any warranty. You can redistribute it under the terms of the Do What The Fuck You Want To Public License.",
+    "This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Licensed under the Common Development and Distribution License.",
+    "You may use this file under the terms of the Business Source License 1.1.",
+    "Released under the PostgreSQL License.",
+    "This content is licensed under the GNU Free Documentation License.",
+    "Contains public sector information licensed under the Open Government Licence v3.0.",
+)
 UNKNOWN = "unknown"
-DIM = 1 << 16
-MAX_ROWS, MAX_LINES = 2000, 12_000
-JOINED = 4
+FAMILIES = ("none", UNKNOWN, *NOTICES)
+DIM = 1 << 18
+MAX_LINES = 1_500
+FOLDS = 3
+STEP = 4
 MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
+#: What a share of the paragraph counts against one of the notice: words of its own may name another licence.
+OWN = 0.8
 _PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() or c == 10 else 32 for c in range(256))
 
 
@@ -94,9 +158,18 @@ def _clean(text: bytes) -> bytes:
     return text.translate(_PUNCTUATION)
 
 
+def _pair_hashes(words: np.ndarray) -> np.ndarray:
+    h = mix(words + U(1))
+    return mix(h[: max(0, len(words) - 1)] * U(0x9E3779B97F4A7C15) + words[1:] + U(2))
+
+
 def grams(paragraphs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed one- to three-grams (feature numbers) of cleaned paragraphs, and where each paragraph's begin."""
     words, at = word_hashes(paragraphs)
+    return _features(words, at)
+
+
+def _features(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(at)
     owner = np.repeat(np.arange(len(n)), n)
     parts, owners = [], []
@@ -120,18 +193,68 @@ def pairs(paragraph: bytes) -> frozenset:
     return frozenset(zip(w, w[1:], strict=False)) or frozenset((x,) for x in w)
 
 
+def terms(paragraph: bytes) -> frozenset:
+    """Words and word pairs."""
+    w = paragraph.lower().split()
+    return frozenset(zip(w, w[1:], strict=False)) | frozenset((x,) for x in w)
+
+
 @functools.cache
 def templates() -> dict[str, list[frozenset]]:
     return {k: [pairs(_clean(t.encode())) for t in v] for k, v in NOTICES.items()}
 
 
+@functools.cache
+def weights() -> dict[tuple, float]:
+    """Of the notices' terms: the logarithm of all families over those that have it. Terms of no notice weigh as much as those of one."""
+    having = Counter(x for v in NOTICES.values() for x in frozenset().union(*(terms(_clean(t.encode())) for t in v)))
+    return {x: math.log(len(NOTICES) / n) for x, n in having.items()}
+
+
+def _weight(some: frozenset) -> float:
+    w, rare = weights(), math.log(len(NOTICES))
+    return sum(w.get(x, rare) for x in some)
+
+
+@functools.cache
+def weighted() -> dict[str, list[tuple[frozenset, float]]]:
+    """Each family's notices as terms, with their weight."""
+    return {k: [(x, _weight(x)) for x in (terms(_clean(t.encode())) for t in v)] for k, v in NOTICES.items()}
+
+
 def similarity(paragraph: bytes, family: str) -> float:
-    """How much of the family's nearest notice the paragraph holds, or of the paragraph the notice: the greater share."""
-    own = pairs(paragraph)
-    if not own:
+    """How much of the family's nearest notice the paragraph holds, or of the paragraph the notice, times ``OWN``: the greater weighted share."""
+    own = terms(paragraph)
+    if not own or family not in NOTICES:
         return 0.0
-    # a share of the paragraph counts only if it is long enough not to be a chance
-    return max(max(len(own & t) / len(t), len(own & t) / len(own) if len(own) >= 6 else 0.0) for t in templates()[family])
+    mine, long = _weight(own), len(pairs(paragraph)) >= 6
+    out = 0.0
+    for t, w in weighted()[family]:
+        both = _weight(own & t)
+        # a share of the paragraph counts only if it is long enough not to be a chance
+        out = max(out, both / w, OWN * both / mine if long and mine else 0.0)
+    return out
+
+
+def _telling(plain: list[bytes]) -> np.ndarray:
+    """Hashes of the word pairs that at most two families have and none of the ``plain`` lines, sorted."""
+    rare = math.log(len(NOTICES) / 2) - 1e-9
+    words, at = word_hashes([b" ".join(x) for x, w in weights().items() if len(x) == 2 and w >= rare])
+    words_, at_ = word_hashes(plain)
+    return np.setdiff1d(_pair_hashes(words)[at[:-1]], _pair_hashes(words_))
+
+
+def _tells(telling: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which paragraphs hold such a pair."""
+    low = np.zeros(1 << 16, bool)  # a first look at 16 bits of the hashes
+    low[(telling & U(0xFFFF)).astype(np.int64)] = True
+    h = _pair_hashes(words)
+    hit = np.flatnonzero(low[(h & U(0xFFFF)).astype(np.int64)])
+    hit = hit[np.isin(h[hit], telling)]
+    owner = np.searchsorted(at, hit, "right") - 1
+    out = np.zeros(len(at) - 1, bool)
+    out[owner[hit + 1 < at[owner + 1]]] = True
+    return out
 
 
 def resembles(paragraph: bytes) -> bool:
@@ -140,119 +263,204 @@ def resembles(paragraph: bytes) -> bool:
     return any(len(own & t) >= 0.3 * len(t) or len(own & t) >= 0.5 * len(own) for ts in templates().values() for t in ts) if own else False
 
 
+_FILLER = "file work text page project documentation author copyright 2019 2021 see also the of for notice".split()
+
+
+def _variants(notice: str, rng: random.Random, copies: int) -> list[str]:
+    """A notice with words dropped, cut to a part, or between other words; first as it is."""
+    words, out = notice.split(), [notice] * 3
+    for _ in range(copies):
+        w = [x for x in words if rng.random() > 0.06]
+        if len(w) > 14 and rng.random() < 0.5:
+            n = rng.randrange(10, len(w))
+            i = rng.randrange(0, len(w) - n + 1)
+            w = w[i : i + n]
+        if rng.random() < 0.4:
+            w = rng.choices(_FILLER, k=rng.randrange(1, 5)) + w
+        if rng.random() < 0.4:
+            w += rng.choices(_FILLER, k=rng.randrange(1, 5))
+        out.append(" ".join(w))
+    return out
+
+
 def variants(seed: int, copies: int) -> list[tuple[str, str]]:
-    """(paragraph, family): notices with words dropped, cut to a part, or between other words."""
-    rng, out = random.Random(seed), []
-    filler = "file work text page project documentation author copyright 2019 2021 see also the of for notice".split()
-    for family, notices in NOTICES.items():
-        for notice in notices:
-            words = notice.split()
-            out += [(notice, family)] * 3
-            for _ in range(copies):
-                w = [x for x in words if rng.random() > 0.06]
-                if len(w) > 14 and rng.random() < 0.5:
-                    n = rng.randrange(10, len(w))
-                    i = rng.randrange(0, len(w) - n + 1)
-                    w = w[i : i + n]
-                if rng.random() < 0.4:
-                    w = rng.choices(filler, k=rng.randrange(1, 5)) + w
-                if rng.random() < 0.4:
-                    w += rng.choices(filler, k=rng.randrange(1, 5))
-                out.append((" ".join(w), family))
+    """(paragraph, family) of the families' notices."""
+    rng = random.Random(seed)
+    return [(x, family) for family, notices in NOTICES.items() for notice in notices for x in _variants(notice, rng, copies)]
+
+
+def _strangers(rng: random.Random, names: list[str], copies: int) -> list[str]:
+    """Notices whose distinctive words, those of one or two families, are exchanged for ``names``."""
+    rare, out = math.log(len(NOTICES) / 2) - 1e-9, []
+    w = weights()
+    for notice in (t for v in NOTICES.values() for t in v):
+        words = notice.split()
+        odd = [any(w.get((x,), 0.0) >= rare for x in _clean(word.encode()).decode().lower().split()) for word in words]
+        if 0 < sum(odd) <= 6 and len(words) - sum(odd) >= 3:
+            out += [" ".join(rng.choice(names).title() if o else word for word, o in zip(words, odd, strict=True)) for _ in range(copies)]
     return out
 
 
 @dataclass
 class Model:
-    """``w``: features x families; ``temperature`` divides the scores."""
+    """``w``: features x families; ``temperature`` divides the scores; ``telling``: hashes of word pairs at which a notice may begin."""
 
     w: np.ndarray
     b: np.ndarray
     temperature: float
+    telling: np.ndarray
 
     def probabilities(self, paragraphs: list[bytes]) -> np.ndarray:
-        index, at = grams(paragraphs)
+        return self.scored(paragraphs)[0]
+
+    def scored(self, paragraphs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, and whether a paragraph holds a telling word pair."""
+        words, begins = word_hashes(paragraphs)
+        index, at = _features(words, begins)
         n = np.maximum(1, np.diff(at))
         z = np.zeros((len(paragraphs), self.w.shape[1]))
         some = np.flatnonzero(np.diff(at) > 0)
         if len(some):
             z[some] = np.add.reduceat(self.w[index], at[:-1][some], axis=0)
-        return linear.softmax((z / np.sqrt(n)[:, None] + self.b) / self.temperature)
+        return linear.softmax((z / np.sqrt(n)[:, None] + self.b) / self.temperature), _tells(self.telling, words, begins)
 
 
-def train(negatives: list[bytes]) -> Model:
-    """From the notices and cleaned paragraphs without a licence."""
-    def rows(examples: list[tuple[bytes, str]]) -> tuple[linear.Rows, np.ndarray]:
-        index, at = grams([p for p, _ in examples])
-        n = np.maximum(1, np.diff(at))
-        return linear.Rows(at, index, np.repeat(1 / np.sqrt(n), np.diff(at))), np.array([[float(f == k) for k in FAMILIES] for _, f in examples])
+Example = tuple[bytes, str]
+
+
+def _fit(examples: list[Example], epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    data, target = _rows(examples)
+    w, b = linear.fit(data, target, DIM, link=linear.softmax, epochs=epochs)
+    return w.astype(np.float32), b
+
+
+def _rows(examples: list[Example]) -> tuple[linear.Rows, np.ndarray]:
+    index, at = grams([p for p, _ in examples])
+    n = np.maximum(1, np.diff(at))
+    place = {f: k for k, f in enumerate(FAMILIES)}
+    target = np.zeros((len(examples), len(FAMILIES)))
+    target[np.arange(len(examples)), [place[f] for _, f in examples]] = 1
+    return linear.Rows(at, index, np.repeat(1 / np.sqrt(n), np.diff(at))), target
 
+
+def _folds(none: list[bytes], rng: random.Random, copies: int) -> list[list[tuple[Example, str]]]:
+    """Examples in ``FOLDS`` parts, each with the class that it has where its part is left out: all notices of a family are in one part."""
+    names = [w.decode("utf-8", "replace") for p in none[:2000] for w in p.split() if len(w) > 3] or ["frob", "quux"]
+    out: list[list[tuple[Example, str]]] = [[] for _ in range(FOLDS)]
+    for k, (family, notices) in enumerate(NOTICES.items()):
+        out[k % FOLDS] += [((_clean(x.encode()), family), UNKNOWN) for t in notices for x in _variants(t, rng, copies)]
+    for k, notice in enumerate(OTHERS):
+        out[k % FOLDS] += [((_clean(x.encode()), UNKNOWN), UNKNOWN) for x in _variants(notice, rng, copies)]
+    for k, x in enumerate(_strangers(rng, names, max(1, copies // 8))):
+        out[k % FOLDS].append(((_clean(x.encode()), UNKNOWN), UNKNOWN))
+    for k, p in enumerate(none):
+        out[k % FOLDS].append(((p, "none"), "none"))
+    return out
+
+
+def train(negatives: list[bytes], copies: int = 16) -> Model:
+    """From the notices and cleaned paragraphs without a licence."""
     rng = random.Random(5)
     words = [w for p in negatives[:2000] for w in p.split()] or [b"text"]
     # licence words alone, or strewn between others, are no notice
     noise = [b" ".join(rng.choices(words, k=12) + rng.sample(b"license licensed version public free software copyright use the under released work".split(), 2)) for _ in range(300)]
-    none = [(p, "none") for p in [*negatives, *noise, b""]]
-    known = [(_clean(p.encode()), f) for p, f in variants(1, 40)]
-    data, target = rows(known + none)
-    w, b = linear.fit(data, target, DIM, link=linear.softmax, epochs=60)
-    held = [(_clean(p.encode()), f) for p, f in variants(2, 10)] + none[: len(none) // 4]
-    data, target = rows(held)
-    z = data.dot(w) + b
-    losses = {t: -np.log(np.maximum((linear.softmax(z / t) * target).sum(1), 1e-12)).mean() for t in np.arange(0.2, 3.05, 0.1)}
-    return Model(w.astype(np.float32), b, float(min(losses, key=losses.get)))
-
-
-def fit(docs: DataFrame, *, max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Negatives are ``max_lines`` lines, by a hash, of at most about ``max_rows`` documents; both bounds are parameters."""
-    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
-    share = min(1.0, max_rows / max(1, rows.count()))
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = {x for t in texts_of(batch, 0) for x in _clean(t.encode()).split(b"\n") if x.strip()}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["line"])
-
-    chosen = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("t").mapInArrow(lines, "line binary").distinct()
-    got = [bytes(r["line"]) for r in chosen.orderBy(F.xxhash64("line"), "line").limit(max_lines).collect()]
+    # words that training has not seen are no licence: without a known word the biases alone must say so
+    blank = [b""] * (len(negatives) // 2 + 200)
+    # nor is what stands around notices
+    around = [" ".join(rng.choices(_FILLER, k=rng.randrange(1, 8))).encode() for _ in range(200)]
+    folds = _folds([*negatives, *noise, *around, *blank], rng, copies)
+    w, b = _fit([e for part in folds for e, _ in part], 60)
+    # the temperature, on families, others and lines that were left out; a third of the epochs and every fourth line tell as much
+    scores, targets = [], []
+    for k, part in enumerate(folds):
+        seen = [e for m, other in enumerate(folds) if m != k for j, (e, _) in enumerate(other) if e[1] != "none" or j % 4 == 0]
+        vk, bk = _fit(seen, 20)
+        data, target = _rows([(p, held) for (p, _), held in part])
+        scores.append(data.dot(vk) + bk)
+        targets.append(target)
+    z, target = np.concatenate(scores), np.concatenate(targets)
+    losses = {t: -np.log(np.maximum((linear.softmax(z / t) * target).sum(1), 1e-12)).mean() for t in np.arange(0.2, 5.05, 0.1)}
+    return Model(w, b, float(min(losses, key=losses.get)), _telling(negatives))
+
+
+def fit(docs: DataFrame, *, max_lines: int = MAX_LINES, text_col: str = "text") -> Model:
+    """Negatives are about ``max_lines`` lines, chosen by their hash among those of all documents; the bound is a parameter."""
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    total = rows.agg(F.coalesce(F.sum(F.length("t") - F.length(F.translate("t", "\n", "")) + 1), F.lit(0))).first()[0]
+    line = rows.select(F.explode(F.split("t", "\n")).alias("line"))
+    share = min(1.0, max_lines / max(1, total))
+    chosen = line.filter((F.pmod(F.xxhash64("line"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("line") > 0)).distinct()
+    got = sorted({x for r in chosen.collect() if (x := _clean(r["line"].encode())).strip()})
     return train([x for x in got if not resembles(x)])
 
 
-def _confirmed(paragraph: bytes, p: np.ndarray) -> tuple[str, float, float] | None:
-    """(family or unknown, probability, similarity) of a paragraph that isn't none."""
-    k = int(np.argmax(p))
-    if k == 0 or p[k] < MIN_PROBABILITY:
+def _judged(paragraph: bytes, p: np.ndarray) -> tuple[str, float, float] | None:
+    """(family or unknown, probability, similarity) of a paragraph that is a licence."""
+    if 1 - p[0] < MIN_PROBABILITY:
         return None
+    k = 1 + int(np.argmax(p[1:]))
     s = similarity(paragraph, FAMILIES[k])
-    return (FAMILIES[k] if s >= MIN_SIMILARITY else UNKNOWN), float(p[k]), s
+    return (FAMILIES[k], float(p[k]), s) if s >= MIN_SIMILARITY else (UNKNOWN, float(1 - p[0]), s)
+
+
+@functools.cache
+def _holders() -> dict[tuple, tuple[str, ...]]:
+    """The families that hold a word pair of at most two families."""
+    out: dict[tuple, tuple[str, ...]] = {}
+    for family, notices in weighted().items():
+        for x in frozenset().union(*(t for t, _ in notices)):
+            if len(x) == 2 and weights()[x] >= math.log(len(NOTICES) / 2) - 1e-9:
+                out[x] = (*out.get(x, ()), family)
+    return out
+
+
+def _run(lines: list[bytes], k: int, taken: set[int], model: Model) -> tuple[int, tuple[str, float, float]] | None:
+    """The run from line ``k`` that is most like a notice: its length, at least two, and what it is."""
+    best, at, n, top = None, lines[k], 1, 0.0
+    while True:
+        runs = []
+        while len(runs) < STEP and k + n < len(lines) and lines[k + n].strip() and k + n not in taken:
+            at, n = at + b" " + lines[k + n], n + 1
+            runs.append((n, at))
+        # the last run holds the words of the others
+        near = {f for x in pairs(at) for f in _holders().get(x, ())} if runs else ()
+        if not near:
+            return best
+        better = False
+        for (m, run), p in zip(runs, model.probabilities([r for _, r in runs]), strict=True):
+            got = _judged(run, p)
+            s = max(similarity(run, f) for f in near)
+            better, top = better or s >= top, max(s, top)
+            if got and got[0] != UNKNOWN and (best is None or got[2] >= best[1][2]):
+                best = m, got
+        if not better or len(runs) < STEP:
+            return best
 
 
 def scan_texts(texts: list[bytes], model: Model) -> list[list[tuple[int, int, str, float, float]]]:
     """For each text: (first line, lines, family, probability, similarity) of its licence paragraphs."""
     cleaned = [_clean(t).split(b"\n") for t in texts]
-    flat = [x for t in cleaned for x in t]
-    p = model.probabilities(flat)
+    p, telling = model.scored([x for t in cleaned for x in t])
     out, at = [], 0
     for lines in cleaned:
-        found, seen = [], set()
-        mine = p[at : at + len(lines)]
+        found, taken = [], set()
+        mine, tell = p[at : at + len(lines)], telling[at : at + len(lines)]
         at += len(lines)
-        hint = np.flatnonzero(mine[:, 0] < 0.9).tolist()
-        for k in hint:
-            got = _confirmed(lines[k], mine[k])
-            if got and got[0] != UNKNOWN:
+        hint = [k for k in np.flatnonzero((mine[:, 0] <= 1 - MIN_PROBABILITY) | tell).tolist() if lines[k].strip()]
+        alone = {k: got for k in hint if (got := _judged(lines[k], mine[k])) is not None}
+        for k, got in alone.items():
+            if got[0] != UNKNOWN:
                 found.append((k, 1, *got))
-                seen.add(k)
-        # wrapped notices: runs that begin at a line which looks like a part of one
-        for k in hint:
-            if k in seen:
+                taken.add(k)
+        for k in hint:  # wrapped notices
+            if k in taken:
                 continue
-            runs = [b" ".join(lines[k : k + n]) for n in range(2, JOINED + 1) if k + n <= len(lines) and not seen.intersection(range(k, k + n))]
-            best = max(((*got, n) for n, (r, q) in enumerate(zip(runs, model.probabilities(runs), strict=True), 2) if (got := _confirmed(r, q)) and got[0] != UNKNOWN), key=lambda x: x[2], default=None) if runs else None
-            if best:
-                found.append((k, best[3], *best[:3]))
-                seen.update(range(k, k + best[3]))
-            elif (got := _confirmed(lines[k], mine[k])) is not None:
-                found.append((k, 1, *got))
+            run = _run(lines, k, taken, model)
+            if run:
+                found.append((k, run[0], *run[1]))
+                taken.update(range(k, k + run[0]))
+            elif k in alone:
+                found.append((k, 1, *alone[k]))
         out.append(sorted(found))
     return out
 
@@ -262,7 +470,7 @@ SCHEMA = "array<struct<line:int,lines:int,family:string,probability:double,simil
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs (lines), found: line, lines, family, probability and similarity of each licence paragraph."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col=id_col, text_col=text_col))  # DIM x families floats
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text_col=text_col))  # DIM x families floats
     dtype = docs.schema[id_col].dataType.simpleString()
     item = pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
 

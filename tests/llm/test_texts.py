@@ -306,8 +306,74 @@ def test_licence_variants_and_unknown(scanner):
     wrapped = b"first line here\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files to deal in the Software without\nrestriction, including the rights to use, copy, modify and merge\nlast words of the page"
     (found,) = licences.scan_texts([wrapped], scanner)
     assert {f[2] for f in found} == {"mit"}
-    (odd,) = licences.scan_texts([b"Licensed under the Frobnicate Public Agreement, release nine."], scanner)
-    assert all(f[2] == "unknown" for f in odd)
+    # wrapped over more lines than a step
+    words = licences.NOTICES["mit"][2].split()
+    thin = "\n".join(["before", *(" ".join(words[k : k + 4]) for k in range(0, len(words), 4)), "", "after"]).encode()
+    (found,) = licences.scan_texts([thin], scanner)
+    assert {f[2] for f in found} == {"mit"} and max(f[1] for f in found) > licences.STEP
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("Licensed under the Artistic License 2.0", {"artistic-2.0"}), ("Released under the zlib license.", {"zlib", "unknown"}), ("Released under the Unlicense", {"unlicense"}),
+        ("This work is marked with CC0 1.0 Universal, Public Domain Dedication", {"cc0", "unknown"}), ("Licensed under the GNU Affero General Public License v3", {"agpl"}),
+        ("Licensed under the Frobnicate License, Version 2.0.", {"unknown"}), ("Licensed under the Frobnicate Public Agreement, release nine.", {"unknown"}), ("This program is distributed under the terms of the Zorble Public License, version 4.", {"unknown"}),
+        ("Released under the European Space Agency Community License.", {"unknown"}),
+    ],
+)
+def test_licences_that_share_words_with_others(scanner, line, want):
+    (found,) = licences.scan_texts([line.encode()], scanner)
+    assert len(found) == 1 and found[0][2] in want
+
+
+def brute_similarity(paragraph, family):
+    """Weighted shares by plain loops over words."""
+    clean = lambda t: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", t.lower()).split()
+    def all_terms(w):
+        return {(x,) for x in w} | {(w[k], w[k + 1]) for k in range(len(w) - 1)}
+    families = {f: [all_terms(clean(t)) for t in v] for f, v in licences.NOTICES.items()}
+    def weight(x):
+        n = sum(any(x in t for t in v) for v in families.values())
+        return np.log(len(families) / max(n, 1))
+    w = clean(paragraph)
+    own, best = all_terms(w), 0.0
+    for t in families[family]:
+        both = sum(weight(x) for x in own & t)
+        best = max(best, both / sum(weight(x) for x in t))
+        if len({(w[k], w[k + 1]) for k in range(len(w) - 1)}) >= 6:
+            best = max(best, licences.OWN * both / sum(weight(x) for x in own))
+    return best
+
+
+def test_template_comparison_equals_brute_force():
+    rng = random.Random(8)
+    lines = [t for t, _ in rng.sample(licences.variants(5, 3), 25)] + list(licences.OTHERS)
+    for t in lines:
+        for f in rng.sample(sorted(licences.NOTICES), 4):
+            assert abs(licences.similarity(licences._clean(t.encode()), f) - brute_similarity(t, f)) < 1e-9
+
+
+def test_families_left_out_are_unknown(monkeypatch):
+    """Trained without a family, its notices are no other family's."""
+    negatives = [licences._clean(w.encode()) for w in ("the quick brown fox jumps over it", "all about software and its use in public", "version three of the text was free")] * 30
+    wrong = total = 0
+    for out in ("artistic-2.0", "zlib", "epl-2.0", "mpl-2.0"):
+        monkeypatch.setattr(licences, "NOTICES", {k: v for k, v in FULL_NOTICES.items() if k != out})
+        monkeypatch.setattr(licences, "FAMILIES", ("none", "unknown", *licences.NOTICES))
+        for c in (licences.templates, licences.weights, licences.weighted, licences._holders):
+            c.cache_clear()
+        model = licences.train(negatives, copies=10)
+        for t in FULL_NOTICES[out]:
+            total += 1
+            wrong += any(f[2] != "unknown" for f in licences.scan_texts([t.encode()], model)[0])
+    monkeypatch.undo()
+    for c in (licences.templates, licences.weights, licences.weighted, licences._holders):
+        c.cache_clear()
+    assert wrong == 0 and total >= 8
+
+
+FULL_NOTICES = dict(licences.NOTICES)
 
 
 def test_licence_edges(spark, scanner):
