@@ -33,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import slices
 from tessera.llm.shingles import texts_of
+from tessera.llm.wordcodec import remembered
 
 MARK = "▁"
-CACHE_WORDS = 1_300_000
+#: Bytes of words and ids that a worker remembers, and about how many an entry takes.
+CACHE_BYTES, ENTRY_BYTES = 288 << 20, 240
+CACHE_WORDS = CACHE_BYTES // ENTRY_BYTES
 #: Before each mark that follows another character.
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -66,10 +70,10 @@ class Vocabulary:
                 self.pieces[p] = i
         self.score = [m.get_score(i) for i in range(n)]
         self.longest = max(map(len, self.pieces), default=1)
-        # ranks are whole numbers in BPE models
-        self.bpe = all(float(s).is_integer() for s in self.score[-200:])
+        self.lowest = min(self.score, default=0.0)
+        self.bpe = model_type(path) == "bpe"
         self.crosses = any(MARK in p.lstrip(MARK) for p in self.pieces)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, leftmost first; only for short texts, to decide which pairs may be neighbours."""
@@ -82,13 +86,16 @@ class Vocabulary:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def neighbours(self, a: str, b: str) -> bool:
-        key = a, b
-        found = self._pairs.get(key)
+    def neighbours(self, a: int, b: int) -> bool:
+        """Whether merging the joined text of two pieces gives them again; what no piece has is next to anything."""
+        if a < 0 or b < 0:
+            return True
+        found = self._pairs.get(a << 20 | b)
         if found is None:
             if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            found = self._pairs[key] = self.merged(a + b) == [a, b]
+            x, y = self.strings[a], self.strings[b]
+            found = self._pairs[a << 20 | b] = self.merged(x + y) == [x, y]
         return found
 
     @functools.cached_property
@@ -97,60 +104,117 @@ class Vocabulary:
         return {p: i for p, i in self.pieces.items() if len(p) == 1 or self.merged(p) == [p]}
 
 
+    @functools.cached_property
+    def endings(self) -> dict:
+        """A trie of the pieces that may be on a path, from their last character to the first; a node holds its piece under ``_END``."""
+        root: dict = {}
+        for p, k in (self.whole if self.bpe else self.pieces).items():
+            node = root
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[_END] = k
+        return root
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protocol buffer's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield number, data[at : at + size]
+        at += size
+
+
+def model_type(path: str) -> str:
+    """As the file's trainer specification (field 2) says in its field 3; unigram, the format's default, without one."""
+    with open(path, "rb") as f:
+        data = f.read()
+    for number, value in _fields(data):
+        if number == 2:
+            kind = next((v for n, v in _fields(value) if n == 3), 1)
+            return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}[kind]
+    return "unigram"
+
+
 class Stream:
     """Encodes characters as they come; ``feed`` and ``close`` return the ids that are settled."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.text = ""  # characters that are not committed
-        self.back: list[tuple[int, float] | None] = [(0, 0.0)]  # for each boundary: where its piece begins, and the path's score
-        self.base = ""  # the piece before the window, if a pair with it must be checked
+        self._reset()
+
+    def _reset(self) -> None:
+        self.text: list[str] = []  # characters that are not committed
+        #: For each boundary of the window the best path's last piece: where it begins, its id, and the path's score.
+        self.back: list[tuple[int, int, float] | None] = [(0, _FIRST, 0.0)]
 
     def feed(self, chars: str) -> list[int]:
         out: list[int] = []
+        text, back, v = self.text, self.back, self.v
+        endings, window, step = v.endings, 2 * v.longest, self._merging if v.bpe else self._greatest
+        n = len(text)
         for c in chars:
-            self.text += c
-            self._step()
-            if len(self.text) > 2 * self.v.longest:
+            text.append(c)
+            n += 1
+            node, i, found = endings, n, []
+            while i:
+                node = node.get(text[i - 1])
+                if node is None:
+                    break
+                i -= 1
+                k = node.get(_END)
+                if k is not None and back[i] is not None:
+                    found.append((i, k))
+            if back[n - 1] is not None and (not found or found[0][0] != n - 1):
+                found.insert(0, (n - 1, _NO_PIECE))
+            back.append(step(found))
+            if n > window:
                 out += self._commit()
+                text, back = self.text, self.back
+                n = len(text)
         return out
 
+    def _merging(self, found: list[tuple[int, int]]) -> tuple[int, int, float] | None:
+        """The longest piece that may follow the one before it: for a prefix there is one."""
+        pairs, back = self.v._pairs, self.back
+        for i, k in reversed(found):
+            before = back[i][1]
+            if before < 0 or k < 0:
+                return i, k, 0.0
+            ok = pairs.get(before << 20 | k)
+            if ok or (ok is None and self.v.neighbours(before, k)):
+                return i, k, 0.0
+        return None
+
+    def _greatest(self, found: list[tuple[int, int]]) -> tuple[int, int, float] | None:
+        best = None
+        for i, k in reversed(found):
+            s = self.back[i][2] + (self.v.score[k] if k >= 0 else self.v.lowest - 10.0)
+            if best is None or s > best[2]:
+                best = i, k, s
+        return best
+
     def close(self) -> list[int]:
-        cuts = self._path(len(self.text))
-        out = self._ids(cuts)
-        self.__init__(self.v)
+        out = self._ids(self._path(len(self.text)))
+        self._reset()
         return out
 
-    def _last(self, at: int) -> str:
-        """The piece that ends at a boundary of the window."""
-        if at == 0:
-            return self.base
-        return self.text[self.back[at][0] : at]
-
-    def _step(self) -> None:
-        n, text, v = len(self.text), self.text, self.v
-        best: tuple[int, float] | None = None
-        if v.bpe:
-            for i in range(max(0, n - v.longest), n):
-                if self.back[i] is None:
-                    continue
-                piece = text[i:n]
-                if n - i > 1 and piece not in v.whole:
-                    continue
-                last = self._last(i)
-                if not last or v.neighbours(last, piece):
-                    best = (i, 0.0)
-                    break
-        else:
-            for i in range(max(0, n - v.longest), n):
-                if self.back[i] is None:
-                    continue
-                k = v.pieces.get(text[i:n])
-                s = v.score[k] if k is not None else (min(v.score) - 10.0 if n - i == 1 else None)
-                if s is not None and (best is None or self.back[i][1] + s > best[1]):
-                    best = (i, self.back[i][1] + s)
-        self.back.append(best)
-
     def _path(self, at: int) -> list[int]:
         cuts = [at]
         while at:
@@ -165,24 +229,22 @@ class Stream:
         at = max(set.intersection(*paths))
         if not at:
             return []
-        cuts = [c for c in self._path(n) if c <= at]
-        out = self._ids(cuts)
-        self.base = self.text[cuts[-2] : cuts[-1]]
-        score = self.back[at][1]
+        out = self._ids([c for c in self._path(n) if c <= at])
+        last, score = self.back[at][1], self.back[at][2]
         self.text = self.text[at:]
-        self.back = [(0, 0.0), *(x and (x[0] - at, x[1] - score) if x is None or x[0] >= at else None for x in self.back[at + 1 :])]
+        self.back = [(0, last, 0.0), *(x and (x[0] - at, x[1], x[2] - score) if x is None or x[0] >= at else None for x in self.back[at + 1 :])]
         return out
 
     def _ids(self, cuts: list[int]) -> list[int]:
-        out: list[int] = []
+        v, out = self.v, []
         for i, j in zip(cuts, cuts[1:], strict=False):
-            k = self.v.pieces.get(self.text[i:j])
-            if k is not None:
+            k = self.back[j][1]
+            if k >= 0:
                 out.append(k)
-            elif self.v.byte_ids:
-                out += [self.v.byte_ids[b] for b in self.text[i:j].encode()]
-            elif not out or out[-1] != self.v.unknown:
-                out.append(self.v.unknown)
+            elif v.byte_ids:
+                out += [v.byte_ids[b] for b in "".join(self.text[i:j]).encode()]
+            elif not out or out[-1] != v.unknown:
+                out.append(v.unknown)
         return out
 
 
@@ -192,15 +254,13 @@ class Codec:
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.known: dict[str, bytes] = {}
-        self._pairs: dict[int, bool] = {}
+        self._stream = Stream(self.v)
         spec = self.v.library
         self.prefix = bool(spec.encode("a") and spec.decode(spec.encode("a")) == "a" and spec.id_to_piece(spec.encode("a")[0]).startswith(MARK))
 
     def _word(self, word: str) -> bytes:
-        if self.v.bpe and len(word) <= 2 * self.v.longest:
-            return self._short(word)
-        s = Stream(self.v)
-        return np.array(s.feed(word) + s.close(), "<u4").tobytes()
+        s = self._stream
+        return array.array("I", s.feed(word) + s.close()).tobytes()
 
     def _from_stem(self, word: str, new: dict[str, bytes]) -> bytes | None:
         """The ids of a word that is another and a full stop or comma, where its last piece and that may be neighbours."""
@@ -213,72 +273,11 @@ class Codec:
             if not stem[-1:].isalpha():
                 return None
             ids = new[stem] = self._word(stem)
-        end = v.strings[int.from_bytes(ids[-4:], "little")]
-        if end not in v.pieces or not v.neighbours(end, last):
+        end = int.from_bytes(ids[-4:], "little")
+        if v.strings[end] not in v.pieces or not v.neighbours(end, v.pieces[last]):
             return None
         return ids + v.pieces[last].to_bytes(4, "little")
 
-    def _short(self, word: str) -> bytes:
-        """The same recursion for a word that fits the window, so that nothing is committed before its end.
-
-        The pieces that begin at a position are found by walking a trie of them.
-        """
-        v, pairs, root = self.v, self._pairs, self._trie
-        n = len(word)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        last: list[tuple[int, int] | None] = [(0, _FIRST)]  # where the piece that ends here begins, and its id
-        for i, c in enumerate(word):
-            node = root.get(c)
-            if node is None or _END not in node:
-                ends[i + 1].append((i, _NO_PIECE))
-            j = i
-            while node is not None:
-                j += 1
-                k = node.get(_END)
-                if k is not None:
-                    ends[j].append((i, k))
-                if j == n:
-                    break
-                node = node.get(word[j])
-            found = None
-            for x in ends[i + 1]:  # from the longest
-                before = last[x[0]]
-                if before is None:
-                    continue
-                p, q = before[1], x[1]
-                if p < 0 or q < 0:
-                    found = x
-                    break
-                ok = pairs.get(p << 20 | q)
-                if ok is None:
-                    ok = pairs[p << 20 | q] = v.neighbours(v.strings[p], v.strings[q])
-                if ok:
-                    found = x
-                    break
-            last.append(found)
-        ids: list[int] = []
-        while n:
-            at, k = last[n]
-            if k >= 0:
-                ids.append(k)
-            elif v.byte_ids:
-                ids += [v.byte_ids[x] for x in reversed(word[at:n].encode())]
-            elif not ids or ids[-1] != v.unknown:
-                ids.append(v.unknown)
-            n = at
-        ids.reverse()
-        return array.array("I", ids).tobytes()
-
-    @functools.cached_property
-    def _trie(self) -> dict:
-        root: dict = {}
-        for p, k in self.v.whole.items():
-            node = root
-            for c in p:
-                node = node.setdefault(c, {})
-            node[_END] = k
-        return root
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
@@ -316,7 +315,7 @@ class Codec:
         return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
+@remembered
 def worker_codec(path: str) -> Codec:
     return Codec(path)
 
@@ -328,8 +327,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 ids = [np.frombuffer(codec.encode(t), np.int32) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))

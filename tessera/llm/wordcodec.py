@@ -12,12 +12,13 @@ import functools
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 #: Where a long text may be cut: the ASCII white space at which ``bytes.split`` cuts.
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
-#: Distinct words that a worker remembers, about 200 bytes each; it keeps them while it runs other stages.
-CACHE_WORDS = 500_000
+#: Bytes of words and ids that a worker remembers, and about how many an entry takes.
+CACHE_BYTES, ENTRY_BYTES = 112 << 20, 224
+CACHE_WORDS = CACHE_BYTES // ENTRY_BYTES
 #: Bytes of text that are encoded together, and beyond which one text is cut.
 SLICE_BYTES = 1 << 20
 
@@ -151,11 +152,30 @@ class _Known(dict):
         return array.array("I", ids).tobytes()
 
 
-@functools.lru_cache(maxsize=2)
-def worker_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+_remembering: list = []
+
+
+def remembered(f: Callable) -> Callable:
+    """``f`` with its result kept by this worker until another stage releases it; one operator's at a time."""
+    cached = functools.lru_cache(maxsize=1)(f)
+
+    @functools.wraps(f)
+    def get(*args):
+        for other in _remembering:
+            if other is not cached:
+                other.cache_clear()
+        return cached(*args)
+
+    _remembering.append(cached)
+    return get
 
 
 def release_words() -> None:
     """Forgets what this worker remembers, which a stage that encodes nothing has no use for."""
-    worker_tokenizer.cache_clear()
+    for cached in _remembering:
+        cached.cache_clear()
+
+
+@remembered
+def worker_tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)

@@ -220,10 +220,12 @@ def test_streaming_commits_within_the_window():
 
 def test_unigram_viterbi_takes_the_best_sum():
     class Toy:
-        bpe, longest, byte_ids, unknown = False, 3, {}, 0
+        bpe, longest, byte_ids, unknown, lowest = False, 3, {}, 0, -6.0
         pieces = {"a": 1, "b": 2, "ab": 3, "abb": 4, "bb": 5}
         score = [0.0, -2.0, -2.0, -2.5, -6.0, -2.2]
 
+    Toy.endings = piece_codec.Vocabulary.endings.func(Toy)
+
     s = piece_codec.Stream(Toy())
     assert s.feed("abb") + s.close() == [1, 5]  # -4.2 beats -4.5 and -6
     assert s.feed("ab") + s.close() == [3]
@@ -235,6 +237,48 @@ def test_unigram_viterbi_takes_the_best_sum():
     assert abs(sum(Toy.score[i] for i in got) - best[-1]) < 1e-9
 
 
+def message(*fields):
+    """A protocol buffer of (number, value) fields: whole numbers, floats and bytes."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v)
+        else:
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def test_a_unigram_model_equals_the_library(tmp_path):
+    """A model file written by hand: the type comes from the file, and the greatest sum is what the library takes."""
+    import sentencepiece
+
+    rng = random.Random(3)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((c, -rng.uniform(3, 6), 1) for c in "▁abcde")]
+    for _ in range(60):
+        p = "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6)))
+        pieces.append((("▁" if rng.random() < 0.4 else "") + p, -rng.uniform(3, 12), 1))
+    pieces = list({p[0]: p for p in pieces}.values())
+    data = message(*((1, message((1, p.encode()), (2, float(s)), (3, k))) for p, s, k in pieces), (2, message((3, 1))), (3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(data)
+    codec, m = piece_codec.Codec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert piece_codec.model_type(str(path)) == "unigram" and piece_codec.model_type(MODEL) == "bpe"
+    for _ in range(300):
+        text = "".join(rng.choice("abcde  ") for _ in range(rng.randrange(1, 120)))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == m.encode(text)
+    assert np.frombuffer(codec.encode("abcx" * 500), "<u4").tolist() == m.encode("abcx" * 500)
+
+
 def test_codec_over_tables(spark):
     df = spark.createDataFrame([*((i, t, 0) for i, t in enumerate(ODD)), (None, "a b", 0), (60, None, 0), (61, "q", 0), (61, "q", 0)], "doc_id long, text string, ids int")
     m = model()
