@@ -12,7 +12,7 @@ Everything but the fit is grouped aggregation: counts and sums of whole numbers
 host with a third of all rows is summed before the exchange, and its rows join one row, which Spark can split.
 
 Defined results: a null or empty text has the evidence of the bias alone; a null host or path is a site of its own; rows
-that repeat are judged each; without labels every document has the prior 0.5 and is kept; an empty table gives an empty
+that repeat are judged each; a null label trains nothing; without labels every document has the prior 0.5 and is kept; an empty table gives an empty
 result; other columns of the input are not read.
 """
 
@@ -54,7 +54,7 @@ class Features:
         self.known: dict[str, tuple[int, int]] = {}
 
     def _word(self, w: str) -> tuple[int, int]:
-        shape = _DIGITS.sub("0", _LETTERS.sub("a", w))[:8]
+        shape = _DIGITS.sub("0", _LETTERS.sub("a", w))
         return _hash("w" + w.strip(".,;:!?\"'()")), _hash("s" + shape)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ class Features:
         held = np.unique(ids[:, 0])
         shapes, n = np.unique(ids[:, 1], return_counts=True)
         lines = text.split("\n")
-        bins = (("d", int(10 * len(held) / len(words))), ("l", int(10 * len(set(lines)) / len(lines))), ("n", min(6, len(words).bit_length() // 2)))
+        bins = (("d", int(10 * len(held) / len(words))), ("l", int(10 * len(set(lines)) / len(lines))), ("n", len(words).bit_length() // 2))
         index = np.concatenate([held, shapes, [_hash(f"{a}{b}") for a, b in bins]])
         value = np.concatenate([np.ones(len(held)), 4 * n / len(words), np.ones(len(bins))])
         return index, value
@@ -96,7 +96,7 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, heads: tuple[str, ...] = HEADS, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> Classifier | None:
     """From at most about ``max_rows`` labelled documents; None without any."""
-    known = labels.select(F.col(label_id).cast("string").alias("i"), *(F.col(h).cast("double").alias(h) for h in heads)).filter(F.col(heads[0]).isNotNull())
+    known = labels.select(F.col(label_id).cast("string").alias("i"), *(F.col(h).cast("double").alias(h) for h in heads)).filter(F.coalesce(*(F.col(h) for h in heads)).isNotNull())
     n = known.count()
     if not n:
         return None
@@ -120,13 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, heads:
     target = np.stack([table[h].to_numpy() for h in heads], 1)
     lists = table["index"].combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64)
-    return train(at - at[0], lists.flatten().to_numpy().astype(np.int64), table["value"].combine_chunks().flatten().to_numpy().astype(np.float64), np.nan_to_num(target))
+    return train(at - at[0], lists.flatten().to_numpy().astype(np.int64), table["value"].combine_chunks().flatten().to_numpy().astype(np.float64), target)
 
 
 def train(at: np.ndarray, index: np.ndarray, value: np.ndarray, target: np.ndarray) -> Classifier:
-    """Without the features of fewer than ``MIN_ROWS`` rows, which would only let it remember single documents."""
+    """Without the features of fewer than ``MIN_ROWS`` rows, which would only let it remember single documents; a row without a head's label is not one of that head's."""
     value = np.where(np.bincount(index, minlength=DIM)[index] >= MIN_ROWS, value, 0.0)
-    w, b = linear.fit(linear.Rows(at, index, value), target, DIM, l1=L1, l2=L2, epochs=EPOCHS, rate=0.3)
+    rows, w, b = linear.Rows(at, index, value), np.zeros((DIM, target.shape[1])), np.zeros(target.shape[1])
+    for k in range(target.shape[1]):
+        known = ~np.isnan(target[:, k])
+        if known.any():
+            one, bias = linear.fit(rows, np.nan_to_num(target[:, [k]]), DIM, l1=L1, l2=L2, epochs=EPOCHS, rate=0.3, weight=known.astype(float))
+            w[:, k], b[k] = one[:, 0], bias[0]
     return Classifier(w.astype(np.float32), b)
 
 

@@ -4,7 +4,8 @@ A text has two histograms: of its characters by class, and of its words by the c
 being one cell. A language's references are the means of the histograms of its texts, each text with the same weight; all
 texts of at least the minimum length enter. A text fails if its Jensen-Shannon distance (base 2, 0 to 1) to the nearest
 language's reference is over the limit, for characters or for words. From the squared distance goes what a sample of the
-text's length has on average from its own source, and shorter texts than the minimum lengths are not compared at all.
+text's length has on average from its own source: each cell adds 1 / (8 ln 2 n), or half its share where so few are
+expected in n that their absence adds less. Shorter texts than the minimum lengths are not compared at all.
 
 Base counts beside: code points in words, symbols, repeated lines, and words in five-word windows that occur twice.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.rows import keep_rows
+from tessera.llm.rows import keep_rows, slices
 from tessera.llm.scratch import Scratch
 from tessera.llm.shingles import U, mix, texts_of, word_hashes
 
@@ -129,8 +130,8 @@ def fit_references(docs: DataFrame, *, common: int = COMMON, text_col: str = "te
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = plain_words(text)
                 if len(words) < MIN_WORDS or len(text) < MIN_CHARS:
                     continue
@@ -190,9 +191,10 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
-def less_noise(distance: float, cells: int, n: int) -> float:
+def less_noise(distance: float, source: np.ndarray, n: int) -> float:
     """A distance without the mean squared distance that a sample of n has from its source."""
-    return float(np.sqrt(max(0.0, distance**2 - (cells - 1) / (8 * np.log(2) * n))))
+    noise = np.minimum(source / 2, 1 / (8 * np.log(2) * n)).sum() - 1 / (8 * np.log(2) * n)
+    return float(np.sqrt(max(0.0, distance**2 - max(0.0, noise))))
 
 
 class _Judge:
@@ -207,13 +209,14 @@ class _Judge:
         chars, words, near = None, None, None
         if len(text) >= MIN_CHARS:
             h = char_histogram(text)
-            chars = less_noise(js_distance(h / h.sum(), refs.chars_mean).min(), len(CLASSES), len(text))
+            d = js_distance(h / h.sum(), refs.chars_mean)
+            chars = less_noise(d.min(), refs.chars_mean[int(d.argmin())], len(text))
         found = plain_words(text)
         if len(found) >= MIN_WORDS:
             n = len(refs.words)
             h = np.bincount(np.fromiter((self.at.get(w, n) for w in found), np.int64, len(found)), minlength=n + 1)
             d = js_distance(h / h.sum(), refs.words_mean)
-            words, near = less_noise(d.min(), COMMON + 1, len(found)), refs.languages[int(d.argmin())]
+            words, near = less_noise(d.min(), refs.words_mean[int(d.argmin())], len(found)), refs.languages[int(d.argmin())]
         return chars, words, near
 
     def verdict(self, text: str | None) -> tuple:

@@ -192,6 +192,92 @@ def test_js_distance_and_edges(spark):
     assert quality_rules.quality_rules(df.filter("false")).collect() == []
 
 
+def brute_verdicts(rows):
+    """(characters' distance, words' distance, kept) from scratch; rows: (id, text, lang)."""
+    import unicodedata
+
+    spaces, stops = " \t\n\r\x0b\x0c", ".,;:!?'\"()-¿¡«»“”‘’…–—"
+
+    def kind(c):
+        k = unicodedata.category(c)
+        if c in spaces:
+            return "space"
+        if c in stops:
+            return "stop"
+        if k in ("Ll", "Lu", "Lt"):
+            return {"Ll": "lower"}.get(k, "upper")
+        return {"L": "letter", "M": "letter", "N": "digit", "S": "symbol", "P": "symbol"}.get(k[0], "other")
+
+    def shares(items):
+        n = Counter(items)
+        return {k: v / sum(n.values()) for k, v in n.items()}
+
+    words_of = lambda t: [w.strip(".,;:!?'\"()") for w in t.lower().split()]
+    texts = {}
+    for _, t, lang in rows:
+        if t and lang and len(t) >= 200 and len(words_of(t)) >= 40:
+            texts.setdefault(lang, []).append(t)
+    mean = lambda ds: {k: sum(d.get(k, 0) for d in ds) / len(ds) for k in set().union(*ds)}
+    chars = {x: mean([shares(map(kind, t)) for t in ts]) for x, ts in texts.items()}
+    words = {x: mean([shares(words_of(t)) for t in ts]) for x, ts in texts.items()}
+    common = {w for d in words.values() for w in sorted(d, key=lambda w: (-round(d[w], 6), w))[:40]}
+    fold = lambda d: {**{w: d.get(w, 0) for w in common}, None: 1 - sum(d.get(w, 0) for w in common)}
+
+    def distance(p, refs, n):
+        best = None
+        for q in refs.values():
+            keys = set(p) | set(q)
+            js = sum((p.get(k, 0) * np.log2(2 * p[k] / (p[k] + q.get(k, 0))) if p.get(k, 0) > 0 else 0) + (q.get(k, 0) * np.log2(2 * q[k] / (p.get(k, 0) + q[k])) if q.get(k, 0) > 0 else 0) for k in keys) / 2
+            noise = sum(min(v / 2, 1 / (8 * np.log(2) * n)) for v in q.values()) - 1 / (8 * np.log(2) * n)
+            if best is None or js < best[0]:
+                best = js, noise
+        return np.sqrt(max(0, best[0] - max(0, best[1])))
+
+    folded, out = {x: fold(d) for x, d in words.items()}, {}
+    for i, t, _ in rows:
+        t, n = t or "", brute_counts(t)
+        a = distance(shares(map(kind, t)), chars, len(t)) if len(t) >= 200 else None
+        b = distance(fold(shares(words_of(t))), folded, len(words_of(t))) if len(words_of(t)) >= 40 else None
+        ok = n[0] >= 10 and 100 * n[4] <= 20 * n[0]
+        out[i] = a, b, ok and (a is None or a <= 0.30) and (b is None or b <= 0.37)
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(-1, "| # | " * 90, None), (-2, None, "en"), (-3, "0123 4567 " * 50, "en"), (-4, " ".join(f"q{k}zx" for k in range(90)), None)]
+    want = brute_verdicts(rows)
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    close = lambda a, b: a is b if a is None or b is None else abs(a - b) < 1e-3
+    near = 0
+    for r in got:
+        a, b, kept = want[r.doc_id]
+        assert close(r.char_distance, a) and close(r.word_distance, b)
+        edge = any(x is not None and abs(x - limit) < 1e-3 for x, limit in ((a, 0.30), (b, 0.37)))
+        near += edge
+        assert r.kept == kept or edge
+    assert near <= 1 and 0 < sum(r.kept for r in got) < len(got) and any(not k and a and b for a, b, k in want.values())
+
+
+def test_evidence_equals_brute_force():
+    """A document's own probability from its features one by one, and the fit's optimality."""
+    rng = random.Random(2)
+    good, bad = "river stone meadow cloud harbour".split(), "buy now cheap pills click".split()
+    texts = [" ".join(rng.choices((good if k % 2 else bad) + ["the", "of"], k=30)) for k in range(80)]
+    of = quality_classifier.Features().of
+    got = [of(t) for t in texts]
+    at = np.cumsum([0, *(len(i) for i, _ in got)])
+    target = np.array([[k % 2, np.nan if k % 3 else 0.0] for k in range(80)], float)
+    model = quality_classifier.train(at, np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got]), target)
+    for t in ["river of stone", "cheap pills now now", ""]:
+        index, value = of(t)
+        z = float(model.b[0]) + sum(float(model.w[i, 0]) * float(v) for i, v in zip(index, value, strict=True))
+        assert abs(model.evidence(index, value)[0] - 1 / (1 + np.exp(-z))) < 1e-6
+    assert model.evidence(*of("river stone meadow"))[0] > 0.8 > 0.2 > model.evidence(*of("buy cheap pills"))[0]
+    # rows without a toxic label train nothing: those with one are all 0
+    assert all(model.evidence(*of(t))[1] < 0.3 for t in texts)
+
+
 # -- the classifier ---------------------------------------------------------------------------------------------------
 def brute_posterior(rows, head=2):
     """Moments and shrinkage by plain loops; rows: (host, path, p)."""
@@ -270,7 +356,7 @@ def test_sparse_regression_finds_the_weights():
 # -- licences ---------------------------------------------------------------------------------------------------------
 def test_licence_scan_of_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    marks = {"mit": "MIT License", "apache-2.0": "Apache License", "gpl": "General Public License", "cc-by-nc": "CC BY-NC"}
+    marks = {"mit": "MIT License", "apache-2.0": "Apache License", "gpl": "General Public License", "cc-by-nc": "CC BY-NC", "proprietary": "All rights reserved."}
     hits = total = false = 0
     for r in op8_licence_scan(spark, SF).collect():
         want = {f for f, m in marks.items() if m in docs[r.doc_id]}
