@@ -112,22 +112,28 @@ class Codes:
     def __getitem__(self, at: slice) -> Codes:
         return Codes(self.dim, self.code[at], self.planes[at], self.factor[at], self.low[at], self.step[at], self.total[at])
 
-    def estimates(self, other: Codes) -> tuple[np.ndarray, np.ndarray]:
-        """Unbiased estimates of the cosines of these vectors, by their whole numbers, with the ``other`` ones, by their codes; and confidence bounds."""
+    def estimates(self, other: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unbiased estimates of the cosines of these vectors, by their whole numbers, with the ``other`` ones, by their codes.
+
+        Their variance is (1 - cosine ** 2) times the second result, of what the other's code leaves of its direction among
+        dim - 1 degrees of freedom, and at most the third, of rounding by at most half a step on average.
+        """
         common = np.zeros((len(self.low), len(other.factor)), np.int64)
         for w in range(self.code.shape[1]):
             for k in range(QUERY_BITS):
                 common += np.bitwise_count(self.planes[:, k, w][:, None] & other.code[:, w][None, :]).astype(np.int64) << k
         ones = np.bitwise_count(other.code).sum(1, dtype=np.int64)
         inner = self.low[:, None] * (2 * ones - self.dim)[None, :] + self.step[:, None] * (2 * common - self.total[:, None])
-        # dim - 1 degrees of freedom hold what the code leaves of the direction; rounding adds at most half a step each
-        spread = (np.maximum(1 - other.factor**2, 0) / max(1, self.dim - 1))[None, :] + (self.step**2 / 4)[:, None]
-        return inner / math.sqrt(self.dim) / other.factor[None, :], EPSILON * np.sqrt(spread) / other.factor[None, :]
+        f2 = other.factor**2
+        return inner / math.sqrt(self.dim) / other.factor[None, :], np.maximum(1 - f2, 0) / f2 / max(1, self.dim - 1), (self.step**2 / 4)[:, None] / f2[None, :]
 
     def likely(self, other: Codes | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places (i, j) of the pairs that may be linked; of these vectors among themselves (i < j) without ``other``."""
-        estimate, bound = self.estimates(self if other is None else other)
-        found = estimate + bound >= threshold
+        """Places (i, j) of the pairs that may be linked; of these vectors among themselves (i < j) without ``other``.
+
+        Of all cosines from the threshold on, the threshold itself has the smallest lower bound for its estimate.
+        """
+        estimate, left, rounding = self.estimates(self if other is None else other)
+        found = estimate + EPSILON * np.sqrt((1 - threshold**2) * left[None, :] + rounding) >= threshold
         return np.nonzero(np.triu(found, 1) if other is None else found)
 
 
