@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cells (rows x columns) up to which a table is read to the driver once instead of being scanned in each pass.
-LOCAL_CELLS = 8_000_000
+LOCAL_CELLS = 1_000_000
 #: Rows up to which methods that need all pairs of rows run.
 PAIR_ROWS = 5_000
 
@@ -113,10 +113,13 @@ class Data:
             if total is not None:
                 flat = np.concatenate([x.ravel() for x in total])
                 shape = json.dumps([list(x.shape) for x in total])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array([shape if i == 0 else None for i in range(len(flat))], pa.string())], names=["pos", "v", "shape"])
+                at = np.arange(len(flat)) if how == "max" else np.union1d(np.flatnonzero(flat), [0] if len(flat) else [])  # zeros add nothing
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at]), pa.array([shape if i == 0 else None for i in range(len(at))], pa.string())], names=["pos", "v", "shape"])
 
         rows = self.table.mapInArrow(run, "pos long, v double, shape string").groupBy("pos").agg((F.sum if how == "sum" else F.max)("v").alias("v"), F.max("shape").alias("shape")).toArrow().sort_by("pos")
-        flat, shapes, out, at = rows["v"].to_numpy(), json.loads(rows["shape"][0].as_py()), [], 0
+        shapes, out, at = json.loads(rows["shape"][0].as_py()), [], 0
+        flat = np.zeros(sum(int(np.prod(s)) if s else 1 for s in shapes))
+        flat[rows["pos"].to_numpy()] = rows["v"].to_numpy()
         for s in shapes:
             k = int(np.prod(s)) if s else 1
             out.append(flat[at : at + k].reshape(s))
@@ -124,9 +127,9 @@ class Data:
         return out
 
     def first(self, k: int, seed: int = 0) -> np.ndarray:
-        """``k`` rows in a pseudo-random order that depends on their values and the seed only."""
-        h = F.xxhash64(F.lit(seed), *(F.col(f"x{i}") for i in range(self.width)))
-        t = self.table.orderBy(h, *(F.col(f"x{i}") for i in range(self.width))).limit(k).toArrow()
+        """``k`` rows in a pseudo-random order that depends on their values, their places in the table and the seed: copies of a row are drawn as often as they are there."""
+        h = F.xxhash64(F.lit(seed), *(F.col(f"x{i}") for i in range(self.width)), F.monotonically_increasing_id())
+        t = self.table.withColumn("h#", h).orderBy("h#", *(F.col(f"x{i}") for i in range(self.width))).limit(k).toArrow()
         return np.stack([t[f"x{i}"].to_numpy() for i in range(self.width)], 1)
 
     def classes(self) -> np.ndarray:
@@ -134,15 +137,65 @@ class Data:
         c = F.col(f"x{len(self.features)}").cast("int")
         return np.array(sorted(r[0] for r in self.table.select(c).distinct().collect()), int)
 
-    def quantiles(self, qs: Sequence[float], exact_rows: int = 1_000_000) -> np.ndarray:
-        """features x qs quantiles with linear interpolation; approximate beyond ``exact_rows`` rows."""
-        names = [f"x{i}" for i in range(len(self.features))]
+    def quantiles(self, qs: Sequence[float], of: Callable | None = None) -> np.ndarray:
+        """Exact quantiles with linear interpolation: columns x qs, of the features or of the columns that ``of(X, y, w)`` gives."""
+        at = np.asarray(qs, float) * (self.n - 1)
+        low = np.floor(at).astype(np.int64)
+        high = np.minimum(low + 1, self.n - 1)
+        found = self.ranked(np.concatenate([low, high]), of)
+        a, b = found[:, : len(low)], found[:, len(low) :]
+        return np.where(a == b, a, a + (b - a) * (at - low))
+
+    def ranked(self, ranks: Sequence[int], of: Callable | None = None) -> np.ndarray:
+        """columns x ranks: the values at these places, from 0, of each column in order; exact at any size.
+
+        A radix search: doubles map to whole numbers in the same order, and each pass counts the next digit of the values
+        that begin like one of those searched for. So a pass brings back a row of counts for each rank, whatever the data.
+        """
+        ranks = np.asarray(ranks, np.int64)
+        take = of or (lambda x, y, w: x)
         if self.is_local:
-            return np.quantile(self._read()[:, : len(names)], qs, axis=0).T.reshape(len(names), len(qs))
-        if self.n <= exact_rows:
-            r = self.table.agg(*(F.percentile(c, F.array(*(F.lit(float(q)) for q in qs))).alias(c) for c in names)).first()
-            return np.array([list(r[c]) for c in names])
-        return np.array(self.table.approxQuantile(names, list(qs), 1e-4))
+            return np.sort(take(*self.split(self._read())), axis=0)[ranks].T
+        bits, done = 11, 0
+        prefix, left = None, None
+        while done < 64:
+            step = min(bits, 64 - done)
+
+            def fn(x, y, w, prefix=prefix, done=done, step=step):
+                keys = sortable(take(x, y, w))
+                p = keys.shape[1]
+                digit = (keys >> np.uint64(64 - done - step) & np.uint64((1 << step) - 1)).astype(np.int64)
+                if prefix is None:
+                    return np.stack([np.bincount(digit[:, j], minlength=1 << step) for j in range(p)])[:, None]
+                head = keys >> np.uint64(64 - done)
+                out = np.zeros((p, prefix.shape[1], 1 << step))
+                for j in range(p):
+                    for k, want in enumerate(prefix[j]):
+                        out[j, k] = np.bincount(digit[head[:, j] == want, j], minlength=1 << step)
+                return out
+
+            (counts,) = self.sum(fn)
+            if prefix is None:
+                counts = np.repeat(counts, len(ranks), axis=1)
+                prefix, left = np.zeros((len(counts), len(ranks)), np.uint64), np.tile(ranks, (len(counts), 1))
+            below = np.cumsum(counts, axis=2)
+            digit = (below <= left[:, :, None]).sum(2)
+            left = left - np.where(digit > 0, np.take_along_axis(below, np.maximum(digit - 1, 0)[:, :, None], 2)[:, :, 0], 0).astype(np.int64)
+            prefix = prefix << np.uint64(step) | digit.astype(np.uint64)
+            done += step
+        return unsortable(prefix)
+
+
+def sortable(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; both zeros are one."""
+    u = np.ascontiguousarray(x + 0.0, np.float64).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(u & top, ~u, u | top)
+
+
+def unsortable(u: np.ndarray) -> np.ndarray:
+    top = np.uint64(1 << 63)
+    return np.where(u & top, u & ~top, ~u).astype(np.uint64).view(np.float64)
 
 
 # -- moments ----------------------------------------------------------------------------------------------------------
@@ -249,6 +302,21 @@ class Params:
             raise NotFittedError(f"{type(self).__name__} isn't fitted")
         raise AttributeError(name)
 
+    @property
+    def is_fitted(self) -> bool:
+        """Whether there are results, which end in an underscore."""
+        return any(k.endswith("_") and not k.startswith("_") for k in self.__dict__)
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability``, an array in the order of ``classes_``."""
+        out = self.predict(df)
+        if "probability" not in out.columns:
+            raise AttributeError(f"{type(self).__name__} has no probabilities")
+        return out.drop(*({"prediction"} - set(df.columns)))
+
+    def predict_log_proba(self, df: DataFrame) -> DataFrame:
+        return self.predict_proba(df).withColumn("probability", F.transform("probability", F.log))
+
     def get_params(self) -> dict:
         return dict(self.params)
 

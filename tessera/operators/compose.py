@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,8 @@ class Pipeline(Params):
     def __getitem__(self, name):
         return dict(self.steps)[name]
 
+    get_step = __getitem__
+
 
 class FeatureUnion(Transformer):
     """The outputs of several transformers side by side, as ``name.output``."""
@@ -435,24 +438,43 @@ def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray, increasing: bool = True) -
     return x, out if increasing else -out
 
 
+def pooled(blocks: list[tuple], s: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
+    """``blocks`` (sum, weight, from, to) of increasing means, and further ones after them, pooled where the order is violated."""
+    out = list(blocks)
+    for one in zip(s.tolist(), n.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        out.append(one)
+        while len(out) > 1 and out[-2][0] / out[-2][1] >= out[-1][0] / out[-1][1]:
+            b, a = out.pop(), out.pop()
+            out.append((a[0] + b[0], a[1] + b[1], a[2], b[3]))
+    return out
+
+
 class IsotonicRegression(Regressor):
-    """Pooled means of y by x, of which at most ``max_points`` distinct (beyond, quantile bins) come to the driver; linear between."""
+    """Pooled means of y by x, linear between.
+
+    Neighbours that violate the order are pooled in ranges of x first, which leaves what pooling them all gives the same,
+    and the ranges' pools on the driver. What comes there are the ends of the pools, the model.
+    """
 
-    DEFAULTS = {"increasing": True, "max_points": 100_000}
+    DEFAULTS = {"increasing": True}
 
     def _fit(self, data):
         if len(data.features) != 1:
             raise ValueError("isotonic regression takes one feature")
-        t = data.table.groupBy("x0").agg(F.sum("x1").alias("s"), F.count("*").alias("n"))
-        if t.count() > self.max_points:
-            cuts = data.table.approxQuantile("x0", np.linspace(0, 1, 10_001).tolist(), 1e-5)
-            b = F.lit(0)
-            edges = F.array(*map(F.lit, sorted(set(cuts))))
-            b = F.aggregate(edges, F.lit(0), lambda a, e: a + (e <= F.col("x0")).cast("int"))
-            t = data.table.groupBy(b.alias("b")).agg(F.avg("x0").alias("x0"), F.sum("x1").alias("s"), F.count("*").alias("n")).drop("b")
-        a = t.orderBy("x0").toArrow()
-        x, s, n = a["x0"].to_numpy(), a["s"].to_numpy(), a["n"].to_numpy().astype(float)
-        self.x_, self.y_ = pool(x, s / n, n, self.increasing)
+        sign = 1.0 if self.increasing else -1.0
+
+        def pools(batches):
+            blocks = []
+            for b in batches:
+                blocks = pooled(blocks, *(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in blocks], pa.float64()) for k in range(4)], names=["s", "n", "lo", "hi"])
+
+        t = data.table.groupBy("x0").agg(F.sum(F.col("x1") * sign).alias("s"), F.count("*").cast("double").alias("n"))
+        t = t.repartitionByRange("x0").sortWithinPartitions("x0").select("s", "n", F.col("x0").alias("lo"), F.col("x0").alias("hi")).mapInArrow(pools, "s double, n double, lo double, hi double")
+        a = t.orderBy("lo").toArrow()
+        blocks = pooled([], *(a[c].to_numpy() for c in ("s", "n", "lo", "hi")))
+        self.x_, at = np.unique([x for _, _, lo, hi in blocks for x in (lo, hi)], return_index=True)
+        self.y_ = sign * np.array([v for s, n, *_ in blocks for v in (s / n, s / n)])[at]
 
     def predict_rows(self, x):
         return np.interp(x[:, 0], self.x_, self.y_)

@@ -186,14 +186,14 @@ def path_length(n: float) -> float:
 
 
 class IsolationForest(_Outliers):
-    """Trees cut at random on samples of bounded size; score 2 ** -(mean depth / expected depth)."""
+    """Trees cut at random, each on rows of its own, ``max_samples`` of them; score 2 ** -(mean depth / expected depth)."""
 
     DEFAULTS = {"n_estimators": 100, "max_samples": 256, "random_state": 0}
 
     def _fit(self, data):
         rng = np.random.default_rng(max(0, self.random_state))
         m = min(self.max_samples if self.max_samples > 0 else 256, data.n)
-        pool = data.first(min(data.n, m * min(self.n_estimators, 20)), max(0, self.random_state))[:, : len(data.features)]
+        pool = data.first(min(data.n, m * self.n_estimators), max(0, self.random_state))[:, : len(data.features)]
         self.depth_, self.trees_ = math.ceil(math.log2(max(2, m))), []
         for _ in range(self.n_estimators):
             self.trees_.append(self._tree(pool[rng.choice(len(pool), m, replace=False)], 0, rng))

@@ -432,6 +432,24 @@ class _TwoViews(Transformer):
         return df.select("*", *new)
 
 
+    def transform_y(self, df):
+        """``df`` with the targets' scores alone."""
+        self._check_targets(df)
+        out = self.transform(df.select("*", *(F.lit(0.0).alias(f) for f in self.features_ if f not in df.columns)))
+        return out.select(*df.columns, *(f"y_score{k}" for k in range(self.y_rotations_.shape[1])))
+
+    def _check_targets(self, df):
+        absent = [t for t in self.targets_ if t not in df.columns]
+        if absent:
+            raise ValueError(f"fitted targets are absent: {absent}")
+
+    def inverse_transform(self, df):
+        """The features that the scores ``x_score0``, ... stand for: by loadings, or the least squares of the rotations without."""
+        load = self.x_loadings_.T if "x_loadings_" in self.__dict__ else np.linalg.pinv(self.x_rotations_)
+        scores = [f"x_score{k}" for k in range(load.shape[0])]
+        return df.select(*(c for c in df.columns if c not in self.features_), *(linear(scores, load[:, j] * self.x_scale_[j], float(self.x_mean_[j])).alias(f) for j, f in enumerate(self.features_)))
+
+
 class PLSSVD(_TwoViews):
     """Singular vectors of the cross covariance."""
 

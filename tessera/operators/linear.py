@@ -687,9 +687,8 @@ class RANSACRegressor(LinearModel):
         cand = _subsets(data, self.max_trials, m, max(0, self.random_state), self.fit_intercept)
         limit = self.residual_threshold
         if limit <= 0:
-            y = np.quantile(data.first(min(data.n, 100_000), 1)[:, len(data.features)], 0.5)
-            dev = data.first(min(data.n, 100_000), 1)[:, len(data.features)]
-            limit = max(1e-3, 1.4826 * float(np.median(np.abs(dev - y))))
+            mid = data.quantiles([0.5], lambda x, y, w: y[:, None])[0, 0]
+            limit = max(1e-3, 1.4826 * float(data.quantiles([0.5], lambda x, y, w: np.abs(y - mid)[:, None])[0, 0]))
 
         def fn(x, y, w):
             return (np.abs(y[:, None] - np.column_stack([x, np.ones(len(x))]) @ cand.T) <= limit).sum(0)

@@ -20,15 +20,57 @@ from tessera.core import Classifier, Data, Estimator, Regressor, apply, col, num
 BLOCK = 4096
 
 
+#: Differences that are held at a time.
+CELLS = 4_000_000
+
+
 def distances(q: np.ndarray, r: np.ndarray, metric: str = "euclidean", p: float = 2) -> np.ndarray:
-    if metric == "euclidean" or metric == "minkowski" and p == 2:
-        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1) - 2 * q @ r.T, 0)) if len(q) * len(r) * q.shape[1] > 2_000_000 else np.sqrt(((q[:, None] - r[None]) ** 2).sum(2))
-    d = np.abs(q[:, None] - r[None])
-    if metric == "manhattan" or metric == "minkowski" and p == 1:
-        return d.sum(2)
-    if metric == "minkowski":
-        return (d**p).sum(2) ** (1 / p)
-    raise ValueError(f"no metric {metric}")
+    """Of all rows of ``q`` and ``r``, from their differences: equal rows are at 0, whatever else is compared with them."""
+    if metric not in ("euclidean", "manhattan", "minkowski"):
+        raise ValueError(f"no metric {metric}")
+    order = {"euclidean": 2, "manhattan": 1}.get(metric, p)
+    out, step = np.empty((len(q), len(r))), max(1, CELLS // max(1, r.size))
+    for i in range(0, len(q), step):
+        d = q[i : i + step, None] - r[None]
+        out[i : i + step] = np.sqrt((d * d).sum(2)) if order == 2 else np.abs(d).sum(2) if order == 1 else (np.abs(d) ** order).sum(2) ** (1 / order)
+    return out
+
+
+def near_pairs(q: np.ndarray, r: np.ndarray, metric: str, p: float, k: int | None, radius: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, place in r, distance) of the k nearest rows of ``r``, ties to the first, or of all within the radius.
+
+    Euclidean distances come from inner products first, which are quick and have an error bound; those that may matter by
+    it are computed from differences, so that the result is that of ``distances``.
+    """
+    if not len(q) or not len(r):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if metric == "euclidean" or (metric == "minkowski" and p == 2):
+        a, b = (q * q).sum(1)[:, None], (r * r).sum(1)[None]
+        about = a + b - 2 * q @ r.T
+        slack = 4 * np.finfo(float).eps * (q.shape[1] + 4) * (a + b)
+        if k is not None:
+            n = min(k, len(r)) - 1
+            maybe = about - slack <= np.partition(about + slack, n, axis=1)[:, n : n + 1]
+        else:
+            maybe = about - slack <= radius * radius * (1 + 1e-9)
+        rows, cols = np.nonzero(maybe)
+        dist = np.empty(len(rows))
+        step = max(1, CELLS // q.shape[1])
+        for i in range(0, len(rows), step):
+            d = q[rows[i : i + step]] - r[cols[i : i + step]]
+            dist[i : i + step] = np.sqrt((d * d).sum(1))
+    else:
+        d = distances(q, r, metric, p)
+        rows, cols = np.nonzero(np.ones(d.shape, bool))
+        dist = d.ravel()
+    if k is None:
+        ok = dist <= radius
+        return rows[ok], cols[ok], dist[ok]
+    order = np.lexsort((cols, dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    first = np.searchsorted(rows, np.arange(len(q)))
+    ok = np.arange(len(rows)) - first[rows] < k
+    return rows[ok], cols[ok], dist[ok]
 
 
 def search(queries: DataFrame, query_key: str, reference: DataFrame, reference_key: str, features: Sequence[str], *, k: int | None = None, radius: float | None = None, metric: str = "euclidean", p: float = 2, value: str | None = None) -> DataFrame:
@@ -52,15 +94,10 @@ def search(queries: DataFrame, query_key: str, reference: DataFrame, reference_k
                 qv = a.field("v").flatten().to_numpy().reshape(-1, dim)
                 rv = r.field("v").flatten().to_numpy().reshape(-1, dim)
                 for at in range(0, len(qv), 256):
-                    d = distances(qv[at : at + 256], rv, metric, p)
-                    if k is not None:
-                        # rows are in the order of their keys, so a stable sort breaks ties by key
-                        j = np.argsort(d, axis=1, kind="stable")[:, :k]
-                        rows, cols = np.repeat(np.arange(len(d)), j.shape[1]), j.ravel()
-                    else:
-                        rows, cols = np.nonzero(d <= radius)
+                    # rows are in the order of their keys, so ties go to the smaller key
+                    rows, cols, dist = near_pairs(qv[at : at + 256], rv, metric, p, k, radius)
                     take = pa.array(cols, pa.int64())
-                    yield pa.RecordBatch.from_arrays([a.field("id").take(pa.array(rows + at, pa.int64())), r.field("id").take(take), pa.array(d[rows, cols]), r.field("y").take(take)], names=["qid", "rid", "dist", "value"])
+                    yield pa.RecordBatch.from_arrays([a.field("id").take(pa.array(rows + at, pa.int64())), r.field("id").take(take), pa.array(dist), r.field("y").take(take)], names=["qid", "rid", "dist", "value"])
 
     pairs = meet.mapInArrow(run, f"qid {q_type}, rid {key_type}, dist double, value double")
     if k is not None:

@@ -273,11 +273,16 @@ class LabelBinarizer(_Columns):
 
 
 class MultiLabelBinarizer(_Columns):
-    """An array column becomes a 0/1 column for each of its values; a value that wasn't seen raises."""
+    """An array column becomes a 0/1 column for each of its values; a value that wasn't seen raises, and so do more than ``max_values`` of them."""
+
+    DEFAULTS = {"max_values": 10_000}
 
     def fit(self, df, features, label=None, **options):
         (f,) = features
-        self.values_ = sorted(r[0] for r in df.select(F.explode(col(f)).alias("v")).dropna().distinct().limit(10_001).collect())
+        found = sorted(r[0] for r in df.select(F.explode(col(f)).alias("v")).dropna().distinct().limit(self.max_values + 1).collect())
+        if len(found) > self.max_values:
+            raise ValueError(f"{f} holds more than {self.max_values} values, each of which would be a column")
+        self.values_ = found
         self.features_ = [f]
         return self
 

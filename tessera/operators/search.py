@@ -62,6 +62,9 @@ class _Search(Params):
     def predict(self, df: DataFrame) -> DataFrame:
         return self.best_estimator_.predict(df)
 
+    def get_n_splits(self) -> int:
+        return (self.cv or KFold()).get_n_splits()
+
 
 class GridSearchCV(_Search):
     DEFAULTS = {"param_grid": None}

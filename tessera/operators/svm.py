@@ -159,7 +159,7 @@ class OneClassSVM(Estimator):
     linear: minus the distance to the centre; other kernels: the mean kernel to a pseudo-random share nu of the rows.
     """
 
-    DEFAULTS = {"nu": 0.5, "gamma": 1.0, "kernel": "rbf", "max_support": 2000, "max_iter": 1000, "lr": 0.01, "random_state": 0}
+    DEFAULTS = {"nu": 0.5, "gamma": 1.0, "kernel": "rbf", "max_support": 20_000, "max_iter": 1000, "lr": 0.01, "random_state": 0}
 
     def _fit(self, data):
         if not 0 < self.nu <= 1:
@@ -167,9 +167,12 @@ class OneClassSVM(Estimator):
         if self.kernel == "linear":
             self.support_ = _scaled(data)[0][None]
         else:
-            self.support_ = data.first(max(1, min(int(data.n * self.nu), self.max_support)), max(0, self.random_state))
+            share = max(1, int(data.n * self.nu))
+            if share > self.max_support:
+                raise ValueError(f"a share of {self.nu} is {share} rows, and a kernel machine takes at most max_support = {self.max_support}: lower nu, raise max_support, or fit on a sample")
+            self.support_ = data.first(share, max(0, self.random_state))
         scored = apply(data.table.toDF(*data.features, *data.table.columns[len(data.features) :]), data.features, lambda x: {"s": self.score_rows(x)}, {"s": "double"})
-        self.offset_ = scored.agg(F.percentile_approx("s", F.lit(float(self.nu)), F.lit(10000))).first()[0]
+        self.offset_ = float(Data(scored, ["s"]).quantiles([self.nu])[0, 0])
 
     def score_rows(self, x):
         if self.kernel == "linear":

@@ -53,22 +53,26 @@ class Tree:
 
 
 def edges_of(data: Data, max_bins: int = MAX_BINS) -> list[np.ndarray]:
-    """For each feature the values at which it may be cut; the greatest is none."""
-    out = []
+    """For each feature the values at which it may be cut; the greatest is none.
+
+    All its values if there are at most ``max_bins``, else those at the ranks that part the rows into as many equal parts.
+    """
+    names = [f"x{j}" for j in range(len(data.features))]
+    values: list[np.ndarray | None] = []
     if data.is_local:
-        x = data._read()
-        for j in range(len(data.features)):
-            v = np.unique(x[:, j])
-            out.append(v[:-1] if len(v) <= max_bins else np.unique(np.quantile(x[:, j], np.linspace(0, 1, max_bins + 1)[1:-1], method="lower")))
-        return out
-    counts = data.table.agg(*(F.approx_count_distinct(f"x{j}") for j in range(len(data.features)))).first()
-    quantiles = data.table.approxQuantile([f"x{j}" for j in range(len(data.features))], np.linspace(0, 1, max_bins + 1)[1:-1].tolist(), 1e-3)
-    for j, n in enumerate(counts):
-        if n <= max_bins // 2:
-            out.append(np.array(sorted(r[0] for r in data.table.select(f"x{j}").distinct().collect()))[:-1])
-        else:
-            out.append(np.unique(quantiles[j]))
-    return out
+        for j in range(len(names)):
+            v = np.unique(data._read()[:, j])
+            values.append(v if len(v) <= max_bins else None)
+    else:
+        about = data.table.agg(*(F.approx_count_distinct(c) for c in names)).first()
+        for c, n in zip(names, about, strict=True):
+            found = data.table.select(c).distinct().limit(max_bins + 1).collect() if n <= 2 * max_bins else []
+            values.append(np.array(sorted(r[0] for r in found)) if 0 < len(found) <= max_bins else None)
+    many = [j for j, v in enumerate(values) if v is None]
+    if many:
+        ranks = np.floor(np.linspace(0, 1, max_bins + 1)[1:-1] * (data.n - 1)).astype(np.int64)
+        cut = data.ranked(ranks, lambda x, y, w: x[:, many])
+    return [v[:-1] if v is not None else np.unique(cut[many.index(j)]) for j, v in enumerate(values)]
 
 
 def uniform(x: np.ndarray, y: np.ndarray | None, salt: int) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_SET_HERE: dict[str, str] = {}
+
 
 def smallest_reachable(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for edges (a, b) given both ways and with loops: each node takes the least root of its neighbours.
@@ -14,7 +16,7 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     spark = edges.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(_folder(spark))
+        sc.setCheckpointDir(shared_folder(spark))
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).checkpoint()
     before = None
     for _ in range(max_rounds):
@@ -28,10 +30,15 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _folder(spark) -> str:
+def shared_folder(spark) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
-    return "file://" + tempfile.mkdtemp(prefix="tessera-")
+    if "dir" not in _SET_HERE:
+        _SET_HERE["dir"] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _SET_HERE["dir"]

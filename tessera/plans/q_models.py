@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from tessera.operators import neural as R
 from tessera.operators import svm as W
 from tessera.operators import trees as T
 from tessera.operators.preprocessing import MinMaxScaler, StandardScaler
+from tessera.plans.graph import shared_folder
 from tessera.plans.registry import query
 from tessera.plans.shared import LINE_SQL, lines, orders, rounded, table, value
 from tessera.sources import models as saved
@@ -339,8 +340,7 @@ def _dependence(s, d):
 @query("model_persistence", _coef_sql("regr_slope(price, q)", "regr_intercept(price, q)"))
 def _persist(s, d):
     m = L.LinearRegression().fit(lines(s, d), ["q"], "price")
-    folder = s.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{folder}/model-{abs(hash((d, id(m))))}"
+    path = f"{shared_folder(s)}/model-{uuid.uuid4().hex}"
     saved.save(s, m, path)
     back = saved.load(s, path)
     return s.createDataFrame([("q", round(float(back.coef_[0]), 4)), ("intercept", round(back.intercept_, 4))], "term string, value double")
@@ -355,17 +355,19 @@ def _stream_source(s, d, name):
 def _stream_regression(s, d):
     state = StreamingMoments(["q"], "price")
     rows = _stream_source(s, d, "lineitem").select(F.col("l_quantity").cast("double").alias("q"), (F.col("l_extendedprice").cast("double") / 1000.0).alias("price"))
-    rows.writeStream.foreachBatch(state.add).trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.foreachBatch(state.add).option("checkpointLocation", f"{shared_folder(s)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
     m = state.regression()
     return s.createDataFrame([("q", round(float(m.coef_[0]), 4)), ("intercept", round(m.intercept_, 4))], "term string, value double")
 
 
 @query("streaming_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS by, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _stream_windows(s, d):
-    name = f"tessera_windows_{abs(hash(d))}"
+    folder = f"{shared_folder(s)}/windows-{uuid.uuid4().hex}"
     out = windowed(_stream_source(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", "event_type")
-    out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "by", "n", F.round("total", 4).alias("total"))
+    # the complete result of the last batch stays in a table; nothing of it comes to the driver
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")
+    out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/rows").select(F.col("start").cast("timestamp_ntz").alias("start"), "by", "n", F.round("total", 4).alias("total"))
 
 
 # -- models of one feature or one step, whose results have a closed form ----------------------------------------------
