@@ -18,7 +18,9 @@ def join_one(rows: DataFrame, one: DataFrame, keys: list[str], values: list[str]
     top = one.orderBy(F.desc(weight), *keys).limit(TOP).select(*(F.col(k).alias(f"t_{k}") for k in keys), *(F.col(v).alias(f"t_{v}") for v in values))
     wide = rows.join(F.broadcast(top), _same(keys, "", "t_"), "left")
     wide = wide.withColumn("s_salt", F.when(F.col(f"t_{values[0]}").isNotNull(), F.pmod(F.xxhash64(salt), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long")))
-    each = one.select(*(F.col(k).alias(f"o_{k}") for k in keys), *(F.col(v).alias(f"o_{v}") for v in values), F.lit(0).cast("long").alias("o_salt"))
+    # 0 for all, but not a literal, with which the planner would take the salt out of the join's keys again
+    salt0 = F.when(F.col(weight) > 0, F.lit(0)).otherwise(F.lit(-1)).cast("long")
+    each = one.select(*(F.col(k).alias(f"o_{k}") for k in keys), *(F.col(v).alias(f"o_{v}") for v in values), salt0.alias("o_salt"))
     out = wide.join(each.hint(hint) if hint else each, _same(keys, "", "o_") & (F.col("s_salt") == F.col("o_salt")), "left")
     return out.select(*rows.columns, *(F.coalesce(f"t_{v}", f"o_{v}").alias(v) for v in values)).filter(F.col(values[0]).isNotNull())
 

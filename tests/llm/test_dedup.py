@@ -202,7 +202,10 @@ def test_hot_keys_are_dealt_out(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1500).alias("k"), "id")
     one = rows.groupBy("k").agg(F.max("id").alias("v"), F.count("*").alias("c")).filter("c > 1")
     want = sorted(map(tuple, rows.join(one, "k").select("k", "id", "v").collect()))
-    assert sorted(map(tuple, skew.join_one(rows, one, ["k"], ["v"], "c", F.col("id")).collect())) == want
+    got = skew.join_one(rows, one, ["k"], ["v"], "c", F.col("id"))
+    assert sorted(map(tuple, got.collect())) == want
+    # the salt is a key of the join: an exchange is by it too
+    assert "s_salt" in "".join(x for x in got._jdf.queryExecution().toString().split("\n") if "hashpartitioning" in x) or "BroadcastHashJoin" in got._jdf.queryExecution().toString()
 
 
 # -- lines ------------------------------------------------------------------------------------------------------------
