@@ -163,11 +163,8 @@ class _Outliers(Estimator):
     DEFAULTS = {"contamination": 0.1}
 
     def _threshold(self, data: Data) -> None:
-        if data.is_local:
-            self.offset_ = float(np.quantile(self.score_rows(data._read()[:, : len(data.features)]), 1 - self.contamination, method="lower"))
-        else:
-            d = apply(data.table.toDF(*data.features, *data.table.columns[len(data.features) :]), data.features, lambda x: {"s": self.score_rows(x)}, {"s": "double"})
-            self.offset_ = d.agg(F.percentile_approx("s", F.lit(1 - self.contamination), F.lit(10000))).first()[0]
+        rank = int((data.n - 1) * (1 - self.contamination))
+        self.offset_ = float(data.ranked([rank], lambda x, y, w: self.score_rows(x)[:, None])[0, 0])
 
     def decision_function(self, df):
         self._check(df)

@@ -145,7 +145,12 @@ class OrthogonalMatchingPursuit(_Gram):
 
 
 class Lars(OrthogonalMatchingPursuit):
-    """Greedy by correlation with the residual, refitted at each step."""
+    """Greedy by correlation with the residual, refitted at each step, of which there are ``max_iter`` at most; correlations up to ``eps`` end it."""
+
+    DEFAULTS = {"max_iter": 500, "eps": 2.220446049250313e-16}
+
+    def _solve(self, g):
+        return pursue(g, min(self.n_nonzero_coefs or g.p, self.max_iter), max(self.tol, self.eps))
 
 
 class LassoLarsIC(_Gram):
@@ -470,10 +475,10 @@ class LogisticRegression(Classifier):
 class LogisticRegressionCV(LogisticRegression):
     """The C of best mean accuracy over folds by a hash of the rows."""
 
-    DEFAULTS = {"Cs": (0.1, 1.0, 10.0), "cv": 5}
+    DEFAULTS = {"Cs": (0.1, 1.0, 10.0), "cv": 5, "scoring": "accuracy"}
 
     def _fit(self, data):
-        self.scores_ = {c: _fold_accuracy(data, self.cv, lambda d, c=c: _inner(LogisticRegression(C=c, fit_intercept=self.fit_intercept, max_iter=self.max_iter, tol=self.tol), d, self.classes_)) for c in self.Cs}
+        self.scores_ = {c: _fold_score(data, self.cv, self.scoring, lambda d, c=c: _inner(LogisticRegression(C=c, fit_intercept=self.fit_intercept, max_iter=self.max_iter, tol=self.tol), d, self.classes_)) for c in self.Cs}
         self.params["C"] = self.C_ = max(self.scores_, key=self.scores_.get)
         super()._fit(data)
 
@@ -502,15 +507,22 @@ class _Fold:
         return self.data.sum(run)
 
 
-def _fold_accuracy(data: Data, k: int, make: Callable) -> float:
+def _fold_score(data: Data, k: int, scoring: str, make: Callable) -> float:
+    """The mean over folds of the accuracy, or of minus the log loss."""
+    if scoring not in ("accuracy", "neg_log_loss"):
+        raise ValueError(f"no scoring {scoring}")
     out = []
     for i in range(k):
         fold = _Fold(data, k, i)
         model = make(fold)
 
         def hits(x, y, w, m=model):
-            p = m.proba_rows(x) if len(x) else np.zeros((0, len(m.classes_)))
-            return (m.classes_[p.argmax(1)] == y.astype(int)).sum() if len(x) else 0.0, float(len(x))
+            if not len(x):
+                return 0.0, 0.0
+            p = m.proba_rows(x)
+            if scoring == "accuracy":
+                return (m.classes_[p.argmax(1)] == y.astype(int)).sum(), float(len(x))
+            return np.log(np.clip(p[np.arange(len(x)), codes(m.classes_, y)], 1e-15, 1)).sum(), float(len(x))
 
         h, n = fold.sum(hits, test=True)
         if n:
@@ -548,10 +560,10 @@ class RidgeClassifier(Classifier):
 
 
 class RidgeClassifierCV(RidgeClassifier):
-    DEFAULTS = {"alphas": (0.1, 1.0, 10.0), "cv": 5}
+    DEFAULTS = {"alphas": (0.1, 1.0, 10.0), "cv": 5, "scoring": "accuracy"}
 
     def _fit(self, data):
-        self.scores_ = {a: _fold_accuracy(data, self.cv, lambda d, a=a: _inner(RidgeClassifier(alpha=a, fit_intercept=self.fit_intercept), d, self.classes_)) for a in self.alphas}
+        self.scores_ = {a: _fold_score(data, self.cv, self.scoring, lambda d, a=a: _inner(RidgeClassifier(alpha=a, fit_intercept=self.fit_intercept), d, self.classes_)) for a in self.alphas}
         self.alpha_ = max(self.scores_, key=self.scores_.get)
         self._from(self._gram(data), self.alpha_)
 

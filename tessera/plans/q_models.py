@@ -93,12 +93,12 @@ def _regress(make, features=X, rows=lines, label="price"):
     return run
 
 
-E8 = [f"e{i}" for i in range(8)]
+E = [f"e{i}" for i in range(64)]
 
 
 def vectors(s, d):
-    """The first eight coordinates of all embeddings, their label, and a number that depends on them."""
-    e = table(s, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
+    """All embeddings by coordinate, their label, and a number that depends on them."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
     return e.withColumn("target", F.col("e0") * 2 - F.col("e1") + F.col("e2") * F.col("e3") * 5)
 
 
@@ -110,18 +110,12 @@ for _n, _m in {
     "transformed_target_regressor": lambda: O.TransformedTargetRegressor(regressor=L.LinearRegression(), transformer=StandardScaler()), "pipeline_regression": lambda: O.Pipeline([("scale", StandardScaler()), ("model", L.Ridge())]),
 }.items():
     query(_n)(_regress(_m))
-for _n, _m in {"kneighbors_regressor": N.KNeighborsRegressor, "radius_neighbors_regressor": lambda: N.RadiusNeighborsRegressor(radius=0.2), "svr_rbf": lambda: W.SVR(kernel="rbf", C=100.0), "gaussian_process_regressor": lambda: V.GaussianProcessRegressor(alpha=1e-3)}.items():
-    query(_n)(_regress(_m, E8, vectors, "target"))
+for _n, _m in {"svr_rbf": lambda: W.SVR(kernel="rbf", C=100.0), "gaussian_process_regressor": lambda: V.GaussianProcessRegressor(alpha=1e-3)}.items():
+    query(_n)(_regress(_m, E, vectors, "target"))
 query("dummy_regressor", f"SELECT round(avg(price), 6) AS prediction, count(*) AS n FROM {LINE_SQL}")(lambda s, d: rounded(B.DummyRegressor().fit(lines(s, d), X, "price").predict(lines(s, d)).groupBy("prediction").agg(F.count("*").alias("n"))))
 query("dummy_regressor_quantile", f"SELECT round(quantile_cont(price, 0.9), 6) AS prediction, count(*) AS n FROM {LINE_SQL}")(lambda s, d: rounded(B.DummyRegressor(strategy="quantile", quantile=0.9).fit(lines(s, d), X, "price").predict(lines(s, d)).groupBy("prediction").agg(F.count("*").alias("n"))))
 
 
-@query("isotonic_regression")
-def _isotonic(s, d):
-    df = lines(s, d)
-    return rounded(O.IsotonicRegression().fit(df, ["q"], "price").predict(df).groupBy("q").agg(F.max("prediction").alias("prediction")), 4)
-
-
 # -- classifiers ------------------------------------------------------------------------------------------------------
 def _classify(make, label="status", features=("q", "price", "d"), rows=lines):
     def run(s, d):
@@ -145,9 +139,9 @@ for _n, _m in {
 for _n, _m in {"one_vs_rest_classifier": lambda: O.OneVsRestClassifier(estimator_factory=L.LogisticRegression), "one_vs_one_classifier": lambda: O.OneVsOneClassifier(estimator_factory=B.GaussianNB), "output_code_classifier": lambda: O.OutputCodeClassifier(estimator_factory=B.GaussianNB), "logistic_regression_multinomial": L.LogisticRegression}.items():
     query(_n)(_classify(_m, "flag"))
 for _n, _m in {
-    "kneighbors_classifier": N.KNeighborsClassifier, "radius_neighbors_classifier": lambda: N.RadiusNeighborsClassifier(radius=0.2), "svc": W.SVC, "gaussian_process_classifier": V.GaussianProcessClassifier,
+    "svc": W.SVC, "gaussian_process_classifier": V.GaussianProcessClassifier,
 }.items():
-    query(_n)(_classify(_m, "label", E8, vectors))
+    query(_n)(_classify(_m, "label", E, vectors))
 
 
 def _half(s, d):
@@ -155,7 +149,7 @@ def _half(s, d):
 
 
 for _n, _m in {"label_propagation": V.LabelPropagation, "label_spreading": V.LabelSpreading, "self_training_classifier": V.SelfTrainingClassifier}.items():
-    query(_n)(lambda s, d, m=_m: rounded(m().fit(_half(s, d), E8, "known").predict(_half(s, d)).agg(M.accuracy_score("label", "prediction").alias("accuracy"), F.count("*").alias("n")), 4))
+    query(_n)(lambda s, d, m=_m: rounded(m().fit(_half(s, d), E, "known").predict(_half(s, d)).agg(M.accuracy_score("label", "prediction").alias("accuracy"), F.count("*").alias("n")), 4))
 
 _NB = f"""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(q AS DOUBLE) AS q, CAST(price AS DOUBLE) AS price, status FROM {LINE_SQL}), m AS (SELECT status, avg(q) AS mq, var_pop(q) AS vq, avg(price) AS mp, var_pop(price) AS vp, ln(count(*) / (SELECT count(*) FROM x)) AS pr FROM x GROUP BY status),
     z AS (SELECT x.*, m.status AS c, pr - 0.5 * (pow(q - mq, 2) / vq + ln(2 * pi() * vq) + pow(price - mp, 2) / vp + ln(2 * pi() * vp)) AS s FROM x, m),
@@ -210,12 +204,32 @@ query("classifier_chain")(_chain(O.ClassifierChain, B.GaussianNB, ["status", "fl
 query("regressor_chain")(_chain(O.RegressorChain, L.LinearRegression, ["price", "t"], M.r2_score))
 
 # -- neighbours -------------------------------------------------------------------------------------------------------
-_NEAR = "(SELECT a.vec_id AS qid, b.vec_id AS rid, sqrt(" + " + ".join(f"pow(a.embedding[{i}]::DOUBLE - b.embedding[{i}]::DOUBLE, 2)" for i in range(1, 9)) + ") AS dist FROM embeddings a, embeddings b)"
+_NEAR = "(SELECT a.vec_id AS qid, b.vec_id AS rid, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist FROM embeddings a, embeddings b)"
 _KNN = f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS k FROM {_NEAR})"
-query("nearest_neighbors", f"SELECT qid, rid, round(dist, 6) AS dist FROM {_KNN} WHERE k <= 5")(lambda s, d: rounded(N.NearestNeighbors().fit(vectors(s, d), E8, key="vec_id").kneighbors(vectors(s, d), "vec_id")))
-query("radius_neighbors", f"SELECT qid, rid, round(dist, 6) AS dist FROM {_NEAR} WHERE dist <= 0.25")(lambda s, d: rounded(N.NearestNeighbors(radius=0.25).fit(vectors(s, d), E8, key="vec_id").radius_neighbors(vectors(s, d), "vec_id")))
-query("kneighbors_transformer", f"SELECT qid, rid, 1.0::DOUBLE AS value FROM {_KNN} WHERE k <= 3")(lambda s, d: N.KNeighborsTransformer(n_neighbors=3, mode="connectivity").fit(vectors(s, d), E8, key="vec_id").transform(vectors(s, d), "vec_id"))
-query("radius_neighbors_transformer", f"SELECT qid, rid, round(dist, 6) AS value FROM {_NEAR} WHERE dist <= 0.2")(lambda s, d: rounded(N.RadiusNeighborsTransformer(radius=0.2).fit(vectors(s, d), E8, key="vec_id").transform(vectors(s, d), "vec_id")))
+query("nearest_neighbors", f"SELECT qid, rid, round(dist, 6) AS dist FROM {_KNN} WHERE k <= 5")(lambda s, d: rounded(N.NearestNeighbors().fit(vectors(s, d), E, key="vec_id").kneighbors(vectors(s, d), "vec_id")))
+query("radius_neighbors", f"SELECT qid, rid, round(dist, 6) AS dist FROM {_NEAR} WHERE dist <= 1.12")(lambda s, d: rounded(N.NearestNeighbors(radius=1.12).fit(vectors(s, d), E, key="vec_id").radius_neighbors(vectors(s, d), "vec_id")))
+query("kneighbors_transformer", f"SELECT qid, rid, 1.0::DOUBLE AS value FROM {_KNN} WHERE k <= 3")(lambda s, d: N.KNeighborsTransformer(n_neighbors=3, mode="connectivity").fit(vectors(s, d), E, key="vec_id").transform(vectors(s, d), "vec_id"))
+query("radius_neighbors_transformer", f"SELECT qid, rid, round(dist, 6) AS value FROM {_NEAR} WHERE dist <= 1.1")(lambda s, d: rounded(N.RadiusNeighborsTransformer(radius=1.1).fit(vectors(s, d), E, key="vec_id").transform(vectors(s, d), "vec_id")))
+
+
+_TARGET = "(embedding[1]::DOUBLE * 2 - embedding[2]::DOUBLE + embedding[3]::DOUBLE * embedding[4]::DOUBLE * 5)"
+
+
+def _vote_sql(near):
+    return f"""WITH v AS (SELECT qid, label, count(*) AS c, sum(count(*)) OVER (PARTITION BY qid) AS z FROM {near} k JOIN embeddings e ON e.vec_id = rid GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS r FROM v)
+    SELECT round(avg(CASE WHEN b.label = e.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS accuracy, round(avg(CAST(c AS DOUBLE) / z), 4) AS confidence, count(*) AS n FROM b JOIN embeddings e ON e.vec_id = qid WHERE r = 1"""
+
+
+def _mean_sql(near):
+    return f"""WITH t AS (SELECT vec_id, {_TARGET} AS y FROM embeddings), p AS (SELECT qid, avg(y) AS p FROM {near} k JOIN t ON vec_id = rid GROUP BY 1)
+    SELECT round(1 - avg(pow(y - p, 2)) / var_pop(y), 4) AS r2, round(avg(abs(y - p)), 4) AS mae, count(*) AS n FROM p JOIN t ON vec_id = qid"""
+
+
+_FIVE, _BALL = f"(SELECT * FROM {_KNN} WHERE k <= 5)", f"(SELECT * FROM {_NEAR} WHERE dist <= 1.2)"
+query("kneighbors_classifier", _vote_sql(_FIVE))(_classify(N.KNeighborsClassifier, "label", E, vectors))
+query("radius_neighbors_classifier", _vote_sql(_BALL))(_classify(lambda: N.RadiusNeighborsClassifier(radius=1.2), "label", E, vectors))
+query("kneighbors_regressor", _mean_sql(_FIVE))(_regress(N.KNeighborsRegressor, E, vectors, "target"))
+query("radius_neighbors_regressor", _mean_sql(_BALL))(_regress(lambda: N.RadiusNeighborsRegressor(radius=1.2), E, vectors, "target"))
 
 
 # -- clusterings ------------------------------------------------------------------------------------------------------
@@ -229,9 +243,9 @@ query("gaussian_mixture")(lambda s, d: _sizes(C.GaussianMixture(n_components=2,
 query("gaussian_mixture_single", f"SELECT round(avg(-0.5 * (pow(q - m, 2) / (v + 1e-6) + ln(v + 1e-6) + ln(2 * pi()))), 4) AS score FROM {LINE_SQL} x, (SELECT avg(q) AS m, var_pop(q) AS v FROM {LINE_SQL})")(lambda s, d: rounded(C.GaussianMixture(max_iter=3).fit(lines(s, d), ["q"]).score_samples(lines(s, d)).agg(F.avg("score").alias("score")), 4))
 query("bayesian_gaussian_mixture")(lambda s, d: _sizes(C.BayesianGaussianMixture(n_components=2, max_iter=10).fit(lines(s, d), ["q", "price"]).predict(lines(s, d))))
 for _n, _m in {
-    "agglomerative_clustering": lambda: C.AgglomerativeClustering(n_clusters=5), "optics": lambda: C.OPTICS(eps=0.3), "mean_shift": lambda: C.MeanShift(bandwidth=0.4, max_iter=30), "affinity_propagation": lambda: C.AffinityPropagation(max_iter=50), "spectral_clustering": lambda: C.SpectralClustering(n_clusters=4),
+    "agglomerative_clustering": lambda: C.AgglomerativeClustering(n_clusters=5), "optics": lambda: C.OPTICS(eps=1.15), "mean_shift": lambda: C.MeanShift(bandwidth=1.3, max_iter=30), "affinity_propagation": lambda: C.AffinityPropagation(max_iter=50), "spectral_clustering": lambda: C.SpectralClustering(n_clusters=4),
 }.items():
-    query(_n)(lambda s, d, m=_m: _sizes(m().fit(vectors(s, d), E8[:4], key="vec_id").predict(vectors(s, d))))
+    query(_n)(lambda s, d, m=_m: _sizes(m().fit(vectors(s, d), E, key="vec_id").predict(vectors(s, d))))
 query("dbscan", """WITH RECURSIVE x AS (SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS v FROM supplier), e AS (SELECT a.id AS a, b.id AS b FROM x a, x b WHERE abs(a.v - b.v) <= 150),
     core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 4), o AS (SELECT x.id, v, CASE WHEN v - lag(v) OVER (ORDER BY v) <= 150 THEN 0 ELSE 1 END AS fresh FROM x JOIN core ON x.id = core.id),
     g AS (SELECT id, sum(fresh) OVER (ORDER BY v) AS g FROM o), r AS (SELECT id, min(id) OVER (PARTITION BY g) AS root FROM g), n AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS k FROM (SELECT DISTINCT root FROM r)),
@@ -265,8 +279,8 @@ for _n, _m in {
     query(_n)(_spread(_m))
 query("lda")(_spread(D.LDA, ("q", "price", "d"), label="flag"))
 for _n, _m in {"kernel_pca": lambda: D.KernelPCA(n_components=2), "mds": D.MDS, "locally_linear_embedding": D.LocallyLinearEmbedding, "spectral_embedding": D.SpectralEmbedding, "isomap": D.Isomap}.items():
-    query(_n)(_spread(_m, E8[:4], vectors, key="vec_id"))
-query("tsne")(lambda s, d: rounded(D.TSNE(max_iter=60).fit(vectors(s, d), E8[:4], key="vec_id").transform(vectors(s, d)).agg(F.count("embed0").alias("n"), (F.abs(F.avg("embed0")) < 1).cast("int").alias("centred"))))
+    query(_n)(_spread(_m, E, vectors, key="vec_id"))
+query("tsne")(lambda s, d: rounded(D.TSNE(max_iter=60).fit(vectors(s, d), E, key="vec_id").transform(vectors(s, d)).agg(F.count("embed0").alias("n"), (F.abs(F.avg("embed0")) < 1).cast("int").alias("centred"))))
 
 
 def _views(make):
@@ -305,8 +319,8 @@ query("min_cov_det")(_cov(V.MinCovDet))
 query("mahalanobis", f"SELECT round(avg(v), 4) AS mean, round(max(v), 4) AS most FROM (SELECT pow(q - m, 2) / s AS v FROM {LINE_SQL} x, (SELECT avg(q) AS m, var_pop(q) AS s FROM {LINE_SQL}))")(lambda s, d: rounded(V.EmpiricalCovariance().fit(lines(s, d), ["q"]).mahalanobis(lines(s, d)).agg(F.avg("mahalanobis").alias("mean"), F.max("mahalanobis").alias("most")), 4))
 for _n, _m in {"elliptic_envelope": V.EllipticEnvelope, "isolation_forest": lambda: V.IsolationForest(n_estimators=20), "one_class_svm": lambda: W.OneClassSVM(nu=0.1, kernel="linear")}.items():
     query(_n)(lambda s, d, m=_m: _sizes(m().fit(lines(s, d), ["q", "price"]).predict(lines(s, d))))
-query("one_class_svm_rbf")(lambda s, d: _sizes(W.OneClassSVM(nu=0.2).fit(vectors(s, d), E8).predict(vectors(s, d))))
-query("local_outlier_factor")(lambda s, d: _sizes(V.LocalOutlierFactor().fit(vectors(s, d), E8).predict(vectors(s, d))))
+query("one_class_svm_rbf")(lambda s, d: _sizes(W.OneClassSVM(nu=0.2).fit(vectors(s, d), E).predict(vectors(s, d))))
+query("local_outlier_factor")(lambda s, d: _sizes(V.LocalOutlierFactor().fit(vectors(s, d), E).predict(vectors(s, d))))
 query("kernel_density", "WITH x AS (SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) / 1000 AS v FROM supplier) SELECT a.id, round(ln(avg(exp(-0.5 * pow(a.v - b.v, 2)))) - 0.5 * ln(2 * pi()), 6) AS score FROM x a, x b GROUP BY a.id")(lambda s, d: (lambda df: rounded(V.KernelDensity().fit(df, ["v"]).score_samples(df).select("id", "score")))(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal").cast("double") / 1000).alias("v"))))
 
 

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tessera.plans import q_metrics, q_models, q_tables  # noqa: F401
+    from tessera.plans import q_closed, q_metrics, q_models, q_tables  # noqa: F401

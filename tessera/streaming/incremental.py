@@ -31,14 +31,29 @@ def merged(a: tuple, b: tuple) -> tuple:
     return n + k, m + d * k / (n + k), g + h + np.outer(d, d) * n * k / (n + k)
 
 
+_BEFORE = -1
+
+
 class StreamingMoments:
-    """``stream.writeStream.foreachBatch(state.add)``: sums of features and labels, by groups of a label if asked for."""
+    """``stream.writeStream.foreachBatch(state.add)``: sums of features and labels, by groups of a label if asked for.
+
+    Only the last batch can run again, so what it holds is the sums of the last and of all before it.
+    """
 
     def __init__(self, features: Sequence[str], label: str | None = None, by_class: bool = False):
         self.features, self.label, self.by_class = list(features), label, by_class
+        #: By batch; under ``_BEFORE`` those of all batches up to ``merged_to``.
         self.batches: dict[int, dict] = {}
+        self.merged_to = _BEFORE
 
     def add(self, df: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.merged_to:
+            return
+        older = sorted(b for b in self.batches if b < batch_id)
+        if older and older != [_BEFORE]:
+            self.batches[_BEFORE] = {g: self.total(g, older) for g in {g for b in older for g in self.batches[b]}}
+            self.merged_to = older[-1]
+            self.batches = {b: v for b, v in self.batches.items() if b == _BEFORE or b not in older}
         if df.isEmpty():
             return
         if self.by_class:
@@ -47,9 +62,9 @@ class StreamingMoments:
         else:
             self.batches[batch_id] = {None: moments(Data(df, self.features, self.label))}
 
-    def total(self, group=None) -> tuple:
+    def total(self, group=None, batches: Sequence[int] | None = None) -> tuple:
         out: tuple = (0.0, None, None)
-        for k in sorted(self.batches):
+        for k in sorted(self.batches if batches is None else batches):
             if group in self.batches[k]:
                 out = merged(out, self.batches[k][group])
         if not out[0]:
@@ -101,6 +116,8 @@ class StreamingMoments:
         out = cls(features, label, by_class)
         for b, parts in json.loads(text):
             out.batches[b] = {g: (n, np.array(m), np.array(c)) for g, n, m, c in parts}
+        if _BEFORE in out.batches:
+            out.merged_to = max((b for b in out.batches if b != _BEFORE), default=0) - 1
         return out
 
 
