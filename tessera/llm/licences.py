@@ -14,8 +14,8 @@ weighted by how few families have it: what all notices share ("licensed under th
 paragraph that no notice confirms is ``unknown``.
 
 Paragraphs are the lines of a text, and runs of lines for notices that are wrapped. A run begins at any line that looks
-like a licence or holds a word pair that few families have, and grows, over any number of lines, as long as one of the
-next ``STEP`` lines makes it no less like a notice; a blank line ends it. All lines of all texts are scored, from hashes of
+like a licence or holds a word pair that few families have, and grows, over any number of lines, as long as the
+next ``STEP`` lines hold further word pairs of notices; a blank line ends it. All lines of all texts are scored, from hashes of
 their words that are taken together.
 
 Defined results: a null or empty text has no paragraphs; rows that repeat are scanned each; an empty table gives an empty
@@ -414,26 +414,25 @@ def _holders() -> dict[tuple, tuple[str, ...]]:
     return out
 
 
-def _run(lines: list[bytes], k: int, taken: set[int], model: Model) -> tuple[int, tuple[str, float, float]] | None:
+def _run(lines: list[bytes], k: int, taken: set[int], model: Model) -> tuple[int, tuple[str, float, float], tuple[float, int]] | None:
     """The run from line ``k`` that is most like a notice: its length, at least two, and what it is."""
-    best, at, n, top = None, lines[k], 1, 0.0
+    best, at, n = None, lines[k], 1
+    held = {x for x in pairs(at) if x in _holders()}
     while True:
-        runs = []
+        runs, before = [], len(held)
         while len(runs) < STEP and k + n < len(lines) and lines[k + n].strip() and k + n not in taken:
-            at, n = at + b" " + lines[k + n], n + 1
-            runs.append((n, at))
-        # the last run holds the words of the others
-        near = {f for x in pairs(at) for f in _holders().get(x, ())} if runs else ()
-        if not near:
+            line, n = lines[k + n], n + 1
+            at += b" " + line
+            # the pairs of the line, and that across its beginning
+            held.update(x for x in pairs(lines[k + n - 2].split()[-1] + b" " + line) if x in _holders())
+            runs.append((n, at, len(held)))
+        if len(held) == before:
             return best
-        better = False
-        for (m, run), p in zip(runs, model.probabilities([r for _, r in runs]), strict=True):
+        for (m, run, found), p in zip(runs, model.probabilities([r for _, r, _ in runs]), strict=True):
             got = _judged(run, p)
-            s = max(similarity(run, f) for f in near)
-            better, top = better or s >= top, max(s, top)
-            if got and got[0] != UNKNOWN and (best is None or got[2] >= best[1][2]):
-                best = m, got
-        if not better or len(runs) < STEP:
+            if got and got[0] != UNKNOWN and (best is None or (got[2], found) > best[2]):
+                best = m, got, (got[2], found)
+        if len(runs) < STEP:
             return best
 
 
