@@ -42,3 +42,19 @@ def test_local_outlier_factor_in_blocks(spark, monkeypatch):
         reach = np.maximum(np.take_along_axis(d, i, 1), np.sort(d, axis=1)[:, k - 1][i]).mean(1)
         lrd = 1 / np.maximum(reach, 1e-10)
         assert np.allclose(-b.negative_outlier_factor_, lrd[i].mean(1) / lrd)
+
+
+def test_knn_imputer_of_more_rows_than_the_limit(spark, monkeypatch):
+    """Ties go to the smaller key, however the table lies."""
+    x = np.random.default_rng(4).integers(0, 4, (700, 3)).astype(float)
+    x[np.random.default_rng(5).random(x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "id long, f0 double, f1 double, f2 double").orderBy("f0", "f1").repartition(3)
+    monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
+    got = np.array([tuple(r) for r in preprocessing.KNNImputer().fit(df, X[:3], key="id").transform(df).orderBy("id").select(*X[:3]).collect()])
+    want = x.copy()
+    for i in np.flatnonzero(np.isnan(x).any(1)):
+        gap = x - x[i]
+        d = np.where(np.isnan(gap).all(1), np.inf, np.nansum(gap**2, axis=1))
+        for j in np.flatnonzero(np.isnan(x[i])):
+            want[i, j] = np.mean([x[r, j] for r in np.argsort(d, kind="stable") if not np.isnan(x[r, j])][:5])
+    assert np.allclose(got, want)
