@@ -58,3 +58,21 @@ def test_knn_imputer_of_more_rows_than_the_limit(spark, monkeypatch):
         for j in np.flatnonzero(np.isnan(x[i])):
             want[i, j] = np.mean([x[r, j] for r in np.argsort(d, kind="stable") if not np.isnan(x[r, j])][:5])
     assert np.allclose(got, want)
+
+
+def silhouettes(x, y):
+    d, out = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), []
+    for i in range(len(x)):
+        own = (y == y[i]).sum()
+        a, b = d[i, y == y[i]].sum() / max(1, own - 1), min(d[i, y == c].mean() for c in set(y) - {y[i]})
+        out.append(0.0 if own == 1 else (b - a) / max(a, b))
+    return np.array(out)
+
+
+def test_silhouette_samples_of_more_rows_than_the_limit(spark, monkeypatch):
+    from tessera.functions import metrics
+
+    x, df = table(spark, label=class_of)
+    monkeypatch.setattr(core, "SPREAD_ROWS", 100)
+    monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
+    assert np.allclose(column(metrics.silhouette_samples(df, X, "label"), "silhouette")[:, 0], np.sort(silhouettes(x, class_of(x))))
