@@ -76,3 +76,11 @@ def test_silhouette_samples_of_more_rows_than_the_limit(spark, monkeypatch):
     monkeypatch.setattr(core, "SPREAD_ROWS", 100)
     monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
     assert np.allclose(column(metrics.silhouette_samples(df, X, "label"), "silhouette")[:, 0], np.sort(silhouettes(x, class_of(x))))
+
+
+def test_silhouette_score_of_more_rows_than_the_limit(spark, monkeypatch):
+    from tessera.functions import metrics
+
+    x, df = table(spark, 5200, label=class_of)
+    monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
+    assert len(x) > core.PAIR_ROWS and np.isclose(metrics.silhouette_score(df, X, "label"), silhouettes(x, class_of(x)).mean())
