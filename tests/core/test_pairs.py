@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import tessera.core as core
-from tessera.operators import cluster, covariance, decomposition, pairs, preprocessing, svm
+from tessera.operators import covariance, preprocessing, svm
 from tessera.sources.tables import from_numpy
 
 X = [f"f{i}" for i in range(4)]
@@ -84,3 +84,13 @@ def test_silhouette_score_of_more_rows_than_the_limit(spark, monkeypatch):
     x, df = table(spark, 5200, label=class_of)
     monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
     assert len(x) > core.PAIR_ROWS and np.isclose(metrics.silhouette_score(df, X, "label"), silhouettes(x, class_of(x)).mean())
+
+
+def class_of(x):
+    return (x[:, 0] + x[:, 1] > 2).astype(float) + (x[:, 2] > 3)
+
+
+def test_svc_in_blocks(spark, monkeypatch):
+    x, df = table(spark, label=class_of)
+    a, b = both(monkeypatch, lambda: svm.SVC(gamma=0.5).fit(df, X, "label").proba_rows(x))
+    assert np.allclose(a, b, atol=1e-7) and a.shape == (len(x), 3)
