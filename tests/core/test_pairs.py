@@ -94,3 +94,15 @@ def test_svc_in_blocks(spark, monkeypatch):
     x, df = table(spark, label=class_of)
     a, b = both(monkeypatch, lambda: svm.SVC(gamma=0.5).fit(df, X, "label").proba_rows(x))
     assert np.allclose(a, b, atol=1e-7) and a.shape == (len(x), 3)
+
+
+def some(x):
+    return np.where(np.arange(len(x)) % 3 == 0, -1.0, class_of(x))
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "knn"])
+def test_label_propagation_in_blocks(spark, monkeypatch, kernel):
+    x, df = table(spark, label=some)
+    a, b = both(monkeypatch, lambda: covariance.LabelPropagation(kernel=kernel).fit(df, X, "label"))
+    assert np.allclose(a.label_distributions_, b.label_distributions_, atol=1e-9)
+    assert np.array_equal(column(a.predict(df), "f0", "f1", "prediction"), column(b.predict(df), "f0", "f1", "prediction"))
