@@ -106,3 +106,20 @@ def test_label_propagation_in_blocks(spark, monkeypatch, kernel):
     a, b = both(monkeypatch, lambda: covariance.LabelPropagation(kernel=kernel).fit(df, X, "label"))
     assert np.allclose(a.label_distributions_, b.label_distributions_, atol=1e-9)
     assert np.array_equal(column(a.predict(df), "f0", "f1", "prediction"), column(b.predict(df), "f0", "f1", "prediction"))
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "knn"])
+def test_label_spreading_in_blocks(spark, monkeypatch, kernel):
+    """Far rows' affinities, of which a row's with itself would leave no digit, count."""
+    x, df = table(spark, label=some)
+    a, b = both(monkeypatch, lambda: covariance.LabelSpreading(kernel=kernel, gamma=60.0).fit(df, X, "label").label_distributions_)
+    assert np.allclose(a, b, atol=1e-9)
+    if kernel == "rbf":
+        w = np.exp(-60.0 * ((x[:, None] - x[None]) ** 2).sum(2)) * (1 - np.eye(len(x)))
+        s, y = 1 / np.sqrt(np.maximum(w.sum(1), 1e-300)), some(x)
+        start = (y[:, None] == [0, 1, 2]).astype(float)
+        f = start
+        for _ in range(200):
+            f = 0.2 * (w * s[:, None] * s) @ f + 0.8 * start
+        total = f.sum(1, keepdims=True)
+        assert np.allclose(b, np.where(total > 0, f / np.maximum(total, 1e-300), 1 / 3), atol=1e-3)
