@@ -123,3 +123,10 @@ def test_label_spreading_in_blocks(spark, monkeypatch, kernel):
             f = 0.2 * (w * s[:, None] * s) @ f + 0.8 * start
         total = f.sum(1, keepdims=True)
         assert np.allclose(b, np.where(total > 0, f / np.maximum(total, 1e-300), 1 / 3), atol=1e-3)
+
+
+def test_self_training_in_blocks(spark, monkeypatch):
+    x, df = table(spark, label=some)
+    a, b = both(monkeypatch, lambda: covariance.SelfTrainingClassifier().fit(df, X, "label"))
+    assert np.array_equal(a.rows_, b.rows_) and np.array_equal(a.labels_, b.labels_) and len(a.rows_) > 400
+    assert np.array_equal(column(a.predict(df), "f0", "f1", "prediction"), column(b.predict(df), "f0", "f1", "prediction"))
