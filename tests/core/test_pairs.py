@@ -130,3 +130,13 @@ def test_self_training_in_blocks(spark, monkeypatch):
     a, b = both(monkeypatch, lambda: covariance.SelfTrainingClassifier().fit(df, X, "label"))
     assert np.array_equal(a.rows_, b.rows_) and np.array_equal(a.labels_, b.labels_) and len(a.rows_) > 400
     assert np.array_equal(column(a.predict(df), "f0", "f1", "prediction"), column(b.predict(df), "f0", "f1", "prediction"))
+
+
+def test_one_class_svm_of_many_columns(spark):
+    """The threshold is the quantile of all rows' scores; its plan doesn't grow with the columns' null checks."""
+    x = np.random.default_rng(6).standard_normal((300, 64)) / 8
+    df, names = from_numpy(spark, x), [f"f{i}" for i in range(64)]
+    m = svm.OneClassSVM(nu=0.2).fit(df, names)
+    scores = column(m.score_samples(df), "score")[:, 0]
+    s = np.exp(-((x[:, None] - m.support_[None]) ** 2).sum(2)).mean(1)
+    assert np.allclose(scores, np.sort(s)) and np.isclose(m.offset_, np.quantile(s, 0.2)) and m.support_.shape == (60, 64)
