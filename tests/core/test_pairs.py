@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import tessera.core as core
-from tessera.operators import covariance, preprocessing, svm
+from tessera.operators import covariance, decomposition, preprocessing, svm
 from tessera.sources.tables import from_numpy
 
 X = [f"f{i}" for i in range(4)]
@@ -140,3 +140,10 @@ def test_one_class_svm_of_many_columns(spark):
     scores = column(m.score_samples(df), "score")[:, 0]
     s = np.exp(-((x[:, None] - m.support_[None]) ** 2).sum(2)).mean(1)
     assert np.allclose(scores, np.sort(s)) and np.isclose(m.offset_, np.quantile(s, 0.2)) and m.support_.shape == (60, 64)
+
+
+def test_mds_of_more_rows_than_the_limit(spark, monkeypatch):
+    x, df = table(spark)
+    monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
+    a, b = both(monkeypatch, lambda: decomposition.MDS(n_components=3).fit(df, X).embedding_)
+    assert np.allclose(a, b, atol=1e-8)
