@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import tessera.core as core
-from tessera.operators import covariance, decomposition, preprocessing, svm
+from tessera.operators import cluster, covariance, decomposition, preprocessing, svm
 from tessera.sources.tables import from_numpy
 
 X = [f"f{i}" for i in range(4)]
@@ -147,3 +147,13 @@ def test_mds_of_more_rows_than_the_limit(spark, monkeypatch):
     monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
     a, b = both(monkeypatch, lambda: decomposition.MDS(n_components=3).fit(df, X).embedding_)
     assert np.allclose(a, b, atol=1e-8)
+
+
+def test_agglomerative_clustering_of_more_rows_than_the_limit(spark, monkeypatch):
+    x, df = table(spark)
+    a = cluster.AgglomerativeClustering(n_clusters=4).fit(df, X)
+    monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
+    monkeypatch.setattr(core, "SPREAD_ROWS", 50)
+    b = cluster.AgglomerativeClustering(n_clusters=4).fit(df, X)
+    assert np.array_equal(a.labels_, b.labels_)
+    assert np.array_equal(column(a.predict(df), "f0", "f1", "prediction"), column(b.predict(df), "f0", "f1", "prediction"))
