@@ -157,3 +157,23 @@ def test_agglomerative_clustering_of_more_rows_than_the_limit(spark, monkeypatch
     b = cluster.AgglomerativeClustering(n_clusters=4).fit(df, X)
     assert np.array_equal(a.labels_, b.labels_)
     assert np.array_equal(column(a.predict(df), "f0", "f1", "prediction"), column(b.predict(df), "f0", "f1", "prediction"))
+
+
+@pytest.mark.parametrize("max_eps", [np.inf, 0.9])
+def test_optics_of_more_rows_than_the_limit(spark, monkeypatch, max_eps):
+    x, df = table(spark)
+    monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
+    m = cluster.OPTICS(eps=0.8, max_eps=max_eps).fit(df, X)
+    off = np.sqrt(((m.rows_[:, None] - m.rows_[None]) ** 2).sum(2)) + np.diag(np.full(len(x), np.inf))
+    kth = np.sort(off, axis=1)[:, 4]
+    kernel = np.where(kth <= max_eps, kth, np.inf)
+    reach, left, order = np.full(len(x), np.inf), list(range(len(x))), []
+    while left:
+        i = min(left, key=lambda j: (reach[j], j))
+        left.remove(i)
+        order.append(i)
+        if np.isfinite(kernel[i]):
+            for j in left:
+                if off[i, j] <= max_eps:
+                    reach[j] = min(reach[j], max(kernel[i], off[i, j]))
+    assert m.ordering_.tolist() == order and np.allclose(m.reachability_, reach) and np.array_equal(m.core_distances_, kernel)
