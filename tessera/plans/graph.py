@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SET_HERE: dict[str, str] = {}
 
 
+#: Edges (8 MB) up to which the driver takes them: a round of stars is some ten shuffles, whatever the number of edges.
+LOCAL_EDGES = 500_000
+
+
+def smallest_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges (u, v), and the smallest one of each one's component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low < high
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while (jump := root[root]).tobytes() != root.tobytes():
+            root = jump
+    return nodes, nodes[root]
+
+
 def smallest_reachable(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for edges (a, b) given both ways and with loops: each node takes the least root of its neighbours.
 
-    Rounds also jump to the root's root, so they follow the logarithm of the diameter; each is a reliable checkpoint.
+    Up to ``LOCAL_EDGES`` edges are joined on the driver. Else rounds also jump to the root's root, so they follow the logarithm of the diameter; each is a reliable checkpoint.
     """
     spark = edges.sparkSession
+    edges = edges.persist()
+    if edges.count() <= LOCAL_EDGES:
+        found = edges.toArrow().combine_chunks()
+        node, root = smallest_of(found["a"].to_numpy(), found["b"].to_numpy())
+        kind = found["a"].type
+        return spark.createDataFrame(pa.table({"node": pa.array(node, kind), "root": pa.array(root, kind)}))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))

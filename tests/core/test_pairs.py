@@ -1,5 +1,7 @@
 """Methods that compare all pairs of rows: past the limit of what the driver holds they give what they give below it."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -177,3 +179,34 @@ def test_optics_of_more_rows_than_the_limit(spark, monkeypatch, max_eps):
                 if off[i, j] <= max_eps:
                     reach[j] = min(reach[j], max(kernel[i], off[i, j]))
     assert m.ordering_.tolist() == order and np.allclose(m.reachability_, reach) and np.array_equal(m.core_distances_, kernel)
+
+
+@pytest.mark.parametrize("d", [1, 2, 4])
+def test_dbscan_is_that_of_all_pairs(spark, d):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(rng.integers(0, 4, (400, 1)) * 3, 0.7, (400, d)), 1)
+    x[:40] = x[40]
+    eps = 0.1 if d == 1 else 0.6
+    df = spark.createDataFrame([(1000 - i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"f{i} double" for i in range(d)))
+    got = dict(tuple(r) for r in cluster.DBSCAN(eps=eps, min_samples=4).fit_predict(df, X[:d], "id").select("id", "prediction").collect())
+    x = x[::-1]  # by id
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= 4
+    root = np.arange(400)
+    for _ in range(400):
+        new = np.where(core, np.where(near & core, root, 999).min(1), root)
+        if (new == root).all():
+            break
+        root = new
+    names = sorted(set(root[core]))
+    least = np.where(near & core, root, 999).min(1)
+    want = [names.index(root[i]) if core[i] else names.index(least[i]) if least[i] < 999 else -1 for i in range(400)]
+    assert [got[601 + i] for i in range(400)] == want and len(names) > 1 and -1 in want
+
+
+def test_dbscan_of_one_dense_column_makes_no_pairs(spark):
+    """60,000 rows of which each has 2,500 within eps: 150 million pairs."""
+    df = spark.range(60_000).selectExpr("id", "(id * 7919 % 60000) / 5.5 as v")
+    began = time.time()
+    assert cluster.DBSCAN(eps=150.0, min_samples=4).fit_predict(df, ["v"], "id").filter("prediction <> 0").count() == 0
+    assert time.time() - began < 60
