@@ -1,22 +1,31 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps; of few edges at once on the driver."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
 from tessera.llm.skew import join_one
+from tessera.plans.graph import LOCAL_EDGES, smallest_of
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b) that isn't the smallest of its component.
 
-    Each round is two grouped minima and two joins to them, in which the rows of hubs are dealt out; every round is
+    Up to ``LOCAL_EDGES`` different edges are joined on the driver. Else each round is two grouped minima and two joins to them, in which the rows of hubs are dealt out; every round is
     written, so that lineage stays short. It ends when a round changes nothing.
     """
     e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = _sum(e)
+    if 0 < before[0] <= LOCAL_EDGES:
+        found = e.toArrow()
+        node, least = smallest_of(found["u"].to_numpy(), found["v"].to_numpy())
+        scratch.drop(e)
+        rest = node != least
+        table = pa.table({"node": node[rest], "component": least[rest]})
+        return scratch.save(e.sparkSession.createDataFrame(table).coalesce(1), "components")
     for _ in range(max_rounds):
         if not before[0]:
             break

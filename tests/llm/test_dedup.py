@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessera.llm import components as comps
 from tessera.llm import near_dedup as nd
 from tessera.llm.components import components
 from tessera.llm.cuckoo import CuckooFilter
@@ -115,6 +116,19 @@ def test_words_are_runs_between_ascii_spaces(texts):
             assert len(set(hashes[begins[k] : begins[k + 1]].tolist())) == len(sets_of(t, width))
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """The driver's components are those of the rounds, and cost two tables, not one a round."""
+    r = random.Random(7)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(250)] + [(5, 5), (-3, 9)]
+    df, got = spark.createDataFrame(edges, "a long, b long"), []
+    for limit in (0, comps.LOCAL_EDGES):
+        monkeypatch.setattr(comps, "LOCAL_EDGES", limit)
+        scratch = Scratch(spark, "test")
+        got.append({x.node: x.component for x in components(df, scratch).collect()})
+    want = roots({i for e in edges for i in e}, edges)
+    assert got[0] == got[1] == {k: v for k, v in want.items() if k != v} and scratch._n == 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 460)]
