@@ -210,3 +210,50 @@ def test_dbscan_of_one_dense_column_makes_no_pairs(spark):
     began = time.time()
     assert cluster.DBSCAN(eps=150.0, min_samples=4).fit_predict(df, ["v"], "id").filter("prediction <> 0").count() == 0
     assert time.time() - began < 60
+
+
+def smooth(x):
+    return np.sin(x[:, 0]) + x[:, 1] * x[:, 2] / 5
+
+
+@pytest.mark.parametrize("make", [lambda: svm.SVR(kernel="rbf", C=100.0), lambda: covariance.GaussianProcessRegressor(alpha=1e-3)])
+def test_kernel_regressors_in_blocks(spark, monkeypatch, make):
+    """Copies of rows with other labels have the mean of their labels."""
+    x, df = table(spark, label=lambda x: smooth(x) + (np.arange(len(x)) % 2) / 10)
+    a, b = both(monkeypatch, lambda: make().fit(df, X, "label").predict_rows(x))
+    assert np.allclose(a, b, atol=1e-6) and np.abs(a - smooth(x)).mean() < 0.2
+
+
+def test_gaussian_process_classifier_in_blocks(spark, monkeypatch):
+    x, df = table(spark, label=class_of)
+    a, b = both(monkeypatch, lambda: covariance.GaussianProcessClassifier().fit(df, X, "label").proba_rows(x))
+    assert np.allclose(a, b, atol=1e-4) and a.shape == (len(x), 3)
+
+
+def test_mean_shift_in_blocks(spark, monkeypatch):
+    x, df = table(spark)
+    a, b = both(monkeypatch, lambda: cluster.MeanShift(bandwidth=2.5).fit(df, X))
+    assert np.array_equal(a.labels_, b.labels_) and np.allclose(a.centers_, b.centers_) and 1 < len(a.centers_) < 100
+
+
+@pytest.mark.parametrize("affinity", ["rbf", "knn"])
+def test_spectral_clustering_in_blocks(spark, monkeypatch, affinity):
+    """The same parts, whatever their numbers."""
+    x, df = table(spark)
+    a, b = both(monkeypatch, lambda: cluster.SpectralClustering(n_clusters=3, affinity=affinity, gamma=0.05, n_neighbors=40).fit(df, X).labels_)
+    same = lambda y: y[:, None] == y[None]
+    assert (same(a) == same(b)).mean() > 0.99 and len(set(b)) == 3
+
+
+def test_kernel_pca_in_blocks(spark, monkeypatch):
+    x, df = table(spark)
+    a, b = both(monkeypatch, lambda: column(decomposition.KernelPCA(n_components=2, gamma=0.3).fit(df, X).transform(df), "kpc0", "kpc1"))
+    assert np.allclose(a, b, atol=1e-6) and a.std(0).min() > 0.01
+
+
+@pytest.mark.parametrize("kind", ["LocallyLinearEmbedding", "SpectralEmbedding"])
+def test_neighbour_embeddings_in_blocks(spark, monkeypatch, kind):
+    x = np.random.default_rng(5).random((300, 4)) * [3, 1, 0.1, 0.1]
+    df, _ = from_numpy(spark, x), None
+    a, b = both(monkeypatch, lambda: getattr(decomposition, kind)(n_neighbors=12).fit(df, X).embedding_)
+    assert np.allclose(np.abs(a), np.abs(b), atol=1e-4 * np.abs(a).max())
