@@ -144,6 +144,17 @@ def test_one_class_svm_of_many_columns(spark):
     assert np.allclose(scores, np.sort(s)) and np.isclose(m.offset_, np.quantile(s, 0.2)) and m.support_.shape == (60, 64)
 
 
+def test_one_class_svm_of_more_support_than_20000(spark, monkeypatch):
+    """Any share of the rows is met, and their scores are made once."""
+    monkeypatch.setattr(core, "LOCAL_CELLS", 1000)
+    x = np.random.default_rng(7).integers(0, 40, (42_000, 1)) / 8.0
+    df, _ = from_numpy(spark, x), None
+    m = svm.OneClassSVM(nu=0.5).fit(df, X[:1])
+    values, at, count = np.unique(m.support_, return_inverse=True, return_counts=True)
+    s = np.exp(-((x - values) ** 2)) @ (count / len(m.support_))
+    assert len(m.support_) == 21_000 and np.isclose(m.offset_, np.quantile(s, 0.5))
+
+
 def test_mds_of_more_rows_than_the_limit(spark, monkeypatch):
     x, df = table(spark)
     monkeypatch.setattr(core.Data.local, "__defaults__", (50,))
