@@ -268,3 +268,10 @@ def test_neighbour_embeddings_in_blocks(spark, monkeypatch, kind):
     df, _ = from_numpy(spark, x), None
     a, b = both(monkeypatch, lambda: getattr(decomposition, kind)(n_neighbors=12).fit(df, X).embedding_)
     assert np.allclose(np.abs(a), np.abs(b), atol=1e-4 * np.abs(a).max())
+
+
+def test_tsne_in_blocks(spark, monkeypatch):
+    x, df = table(spark, 300)
+    a, b = both(monkeypatch, lambda: decomposition.TSNE(perplexity=10.0, max_iter=6).fit(df, X))
+    assert np.allclose(a.embedding_, b.embedding_, atol=1e-4 * np.abs(a.embedding_).max()) and np.isclose(a.kl_divergence_, b.kl_divergence_, rtol=1e-4)
+    assert np.abs(a.embedding_).max() > 1e-3
