@@ -275,3 +275,18 @@ def test_tsne_in_blocks(spark, monkeypatch):
     a, b = both(monkeypatch, lambda: decomposition.TSNE(perplexity=10.0, max_iter=6).fit(df, X))
     assert np.allclose(a.embedding_, b.embedding_, atol=1e-4 * np.abs(a.embedding_).max()) and np.isclose(a.kl_divergence_, b.kl_divergence_, rtol=1e-4)
     assert np.abs(a.embedding_).max() > 1e-3
+
+
+@pytest.mark.parametrize("kept", [2e9, 0])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_isomap_in_blocks(spark, monkeypatch, parts, kept):
+    """One part and several that no path joins; lengths kept and made anew."""
+    from tessera.operators import pairs
+
+    x = np.random.default_rng(5).random((300, 4)) * [3, 1, 0.1, 0.1]
+    x[:, 0] += np.arange(300) % parts * 50
+    x[100:110] = x[:10] if parts == 1 else x[100:110]
+    df, _ = from_numpy(spark, x), None
+    monkeypatch.setattr(pairs.Far.__init__, "__defaults__", (10.0, kept))
+    a, b = both(monkeypatch, lambda: decomposition.Isomap(n_neighbors=8).fit(df, X).embedding_)
+    assert np.allclose(np.abs(a), np.abs(b), atol=1e-6 * np.abs(a).max()) and a.std(0).min() > 0.01
