@@ -290,3 +290,14 @@ def test_isomap_in_blocks(spark, monkeypatch, parts, kept):
     monkeypatch.setattr(pairs.Far.__init__, "__defaults__", (10.0, kept))
     a, b = both(monkeypatch, lambda: decomposition.Isomap(n_neighbors=8).fit(df, X).embedding_)
     assert np.allclose(np.abs(a), np.abs(b), atol=1e-6 * np.abs(a).max()) and a.std(0).min() > 0.01
+
+
+@pytest.mark.parametrize("n", [300, 301])
+def test_affinity_propagation_in_blocks(spark, monkeypatch, n):
+    x = np.random.default_rng(5).random((n, 4)) * [9, 5, 1, 1]
+    df, _ = from_numpy(spark, x), None
+    far = cluster.Pairs(spark, x)
+    assert np.isclose(cluster.median_square(far), np.median(((x[:, None] - x[None]) ** 2).sum(2)), rtol=1e-12)
+    for options in ({}, {"damping": 0.8, "preference": -3.0, "max_iter": 12}):
+        a, b = both(monkeypatch, lambda: cluster.AffinityPropagation(**options).fit(df, X))
+        assert np.array_equal(a.exemplars_, b.exemplars_) and np.array_equal(a.labels_, b.labels_) and len(a.exemplars_) > 5
