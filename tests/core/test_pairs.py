@@ -301,3 +301,20 @@ def test_affinity_propagation_in_blocks(spark, monkeypatch, n):
     for options in ({}, {"damping": 0.8, "preference": -3.0, "max_iter": 12}):
         a, b = both(monkeypatch, lambda: cluster.AffinityPropagation(**options).fit(df, X))
         assert np.array_equal(a.exemplars_, b.exemplars_) and np.array_equal(a.labels_, b.labels_) and len(a.exemplars_) > 5
+
+
+def test_locally_linear_embedding_with_several_null_vectors(spark, monkeypatch):
+    """Far groups, links between which go one way: any vectors that all rows' neighbours make up exactly are right, and settle."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.random((40, 2)) * 1e-3 + rng.random(2) * 50 for _ in range(12)] + [rng.random((600, 2)) * 50])
+    df, _ = from_numpy(spark, x), None
+    monkeypatch.setattr(core, "PAIR_ROWS", 50)
+    m = decomposition.LocallyLinearEmbedding(n_neighbors=5).fit(df, X[:2])
+    x, e = m.rows_, m.embedding_
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(2) + np.diag(np.full(len(x), np.inf)), axis=1, kind="stable")[:, :5]
+    z = x[near] - x[:, None]
+    c = z @ z.transpose(0, 2, 1)
+    w = np.linalg.solve(c + np.eye(5) * 1e-3 * np.einsum("nii->n", c)[:, None, None], np.ones((len(x), 5, 1)))[..., 0]
+    w /= w.sum(1, keepdims=True)
+    assert np.abs(e - np.einsum("nk,nkc->nc", w, e[near])).max() < 1e-8
+    assert np.allclose(e.T @ e, np.eye(2), atol=1e-8) and np.abs(e.sum(0)).max() < 1e-6
