@@ -192,6 +192,31 @@ def test_optics_of_more_rows_than_the_limit(spark, monkeypatch, max_eps):
     assert m.ordering_.tolist() == order and np.allclose(m.reachability_, reach) and np.array_equal(m.core_distances_, kernel)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e25])
+def test_walks_of_any_scale(spark, scale):
+    """Bounds of single precision leave out no row that is nearer, whatever the scale and the place of the rows."""
+    x = (np.random.default_rng(8).standard_normal((300, 3)) + [1e6, 0, -3]) * scale
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    left, best, total = list(range(1, 300)), d[0].copy(), []
+    while left:
+        j = min(left, key=lambda r: (best[r], r))
+        left.remove(j)
+        total.append(best[j])
+        best = np.minimum(best, d[j])
+    labels = cluster.single_linkage(x, 6)
+    cut, root = np.sort(total)[-6], np.arange(300)
+    for _ in range(300):
+        root = np.where(d <= cut * (1 + 1e-9), root, 999).min(1)
+    assert np.array_equal(labels, np.unique(root, return_inverse=True)[1])
+
+
+def test_long_walks_compare_few_rows():
+    """12,000 rows of 64 columns: 9 billion differences if every row were compared with all."""
+    x = np.random.default_rng(8).standard_normal((12_000, 64))
+    began = time.time()
+    assert len(set(cluster.single_linkage(x, 5))) == 5 and time.time() - began < 8
+
+
 @pytest.mark.parametrize("d", [1, 2, 4])
 def test_dbscan_is_that_of_all_pairs(spark, d):
     rng = np.random.default_rng(8)
