@@ -215,6 +215,10 @@ def test_long_walks_compare_few_rows():
     x = np.random.default_rng(8).standard_normal((12_000, 64))
     began = time.time()
     assert len(set(cluster.single_linkage(x, 5))) == 5 and time.time() - began < 8
+    m = cluster.OPTICS()
+    began = time.time()
+    m._labels(x[:4000])
+    assert sorted(m.ordering_) == list(range(4000)) and time.time() - began < 15
 
 
 @pytest.mark.parametrize("d", [1, 2, 4])
@@ -343,3 +347,10 @@ def test_locally_linear_embedding_with_several_null_vectors(spark, monkeypatch):
     w /= w.sum(1, keepdims=True)
     assert np.abs(e - np.einsum("nk,nkc->nc", w, e[near])).max() < 1e-8
     assert np.allclose(e.T @ e, np.eye(2), atol=1e-8) and np.abs(e.sum(0)).max() < 1e-6
+
+
+@pytest.mark.parametrize("max_eps", [np.inf, 0.9])
+def test_optics_with_neighbours_from_the_executors(spark, monkeypatch, max_eps):
+    _, df = table(spark)
+    a, b = both(monkeypatch, lambda: cluster.OPTICS(eps=0.8, max_eps=max_eps).fit(df, X))
+    assert np.array_equal(a.ordering_, b.ordering_) and np.array_equal(a.reachability_, b.reachability_) and np.array_equal(a.labels_, b.labels_)
