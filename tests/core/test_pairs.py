@@ -354,3 +354,16 @@ def test_optics_with_neighbours_from_the_executors(spark, monkeypatch, max_eps):
     _, df = table(spark)
     a, b = both(monkeypatch, lambda: cluster.OPTICS(eps=0.8, max_eps=max_eps).fit(df, X))
     assert np.array_equal(a.ordering_, b.ordering_) and np.array_equal(a.reachability_, b.reachability_) and np.array_equal(a.labels_, b.labels_)
+
+
+def test_kernels_meet_in_tiles_that_fit_a_cache(spark):
+    from tessera.operators import pairs
+
+    x, seen = np.random.default_rng(3).standard_normal((5000, 2)), []
+
+    def tile(a, b):
+        seen.append(a.size // 2 * (b.size // 2))
+        return svm.kernel("rbf", a, b, 1.0, 0, 0)
+
+    v = np.random.default_rng(4).standard_normal((5000, 3))
+    assert np.allclose(pairs.against(tile, x[:300], x, v), svm.kernel("rbf", x[:300], x, 1.0, 0, 0) @ v) and max(seen) * 8 <= 2**20
